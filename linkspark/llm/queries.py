@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, simhash
+from . import decontaminate, langid, mixing, simhash, tokens
 from .common import bucket_of, table
 
 
@@ -18,14 +18,24 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark, sf_dir):
+    return tokens.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
+    "op10_token_files": op10_token_files,
 }
 
 # Windows are compared by equality of the joined words; the words of a document are numbered within its own list.
@@ -48,5 +58,27 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op4_mixing": r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents),
+s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (
+    SELECT *, CAST([3.0, 1.0, 2.0][rank % 3 + 1] AS DOUBLE) AS w, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
+r AS (
+    SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_rest FROM w),
+t AS (
+    SELECT source, rank, source_size, least(cap, coalesce(min(CASE WHEN rest / w_rest * w <= cap THEN rest / w_rest END) OVER () * w, cap)) AS target FROM r),
+q AS (
+    SELECT d.doc_id, d.source, d.size, t.rank, t.source_size, t.target, turn,
+        sum(size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id ROWS UNBOUNDED PRECEDING) AS served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+    SELECT doc_id, size, rank, pass, turn, CAST(served + pass * source_size AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) AS p(pass) WHERE size > 0),
+c AS (
+    SELECT doc_id, sum(size) OVER (ORDER BY finish, rank, pass, turn, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM e),
+k AS (SELECT doc_id, count(*) AS copies FROM c WHERE cum <= (SELECT sum(source_size) * 1.5::DOUBLE FROM s) GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, round(target, 6) AS target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken FROM q LEFT JOIN k USING (doc_id)
 """,
 }
