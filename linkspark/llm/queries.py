@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash, tokens
+from . import decontaminate, editprint, html, langid, mixing, pii, ppm, sharding, simhash, tokens
 from .common import bucket_of, table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op2_pii_spans(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,19 +26,40 @@ def op4_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_edit_fingerprint(spark, sf_dir):
+    return editprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_hilbert_shards(spark, sf_dir):
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_ppm_score(spark, sf_dir):
+    return ppm.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_token_files(spark, sf_dir):
     return tokens.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii_spans": op2_pii_spans,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_edit_fingerprint": op5_edit_fingerprint,
     "op6_simhash": op6_simhash,
+    "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_ppm_score": op8_ppm_score,
+    "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
 }
 
