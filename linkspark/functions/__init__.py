@@ -1,0 +1 @@
+"""Column functions: text, names, addresses, countries, transliteration."""

@@ -1,0 +1 @@
+"""Whole runs: preprocessing, audit, command line, registered queries."""

@@ -1,0 +1 @@
+"""Preprocessing of record streams."""
