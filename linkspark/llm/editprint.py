@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from .common import shuffle_partitions, slices, store
 
@@ -199,7 +199,7 @@ def near_pairs(rows: DataFrame, threshold: float = 0.8, digits: int = 8) -> tupl
     a, b = bands.alias("a"), bands.alias("b")
     met = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def like(x, y):
         import pandas as pd
 
