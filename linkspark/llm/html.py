@@ -127,24 +127,31 @@ def main_text(page: str | None) -> str:
     got = blocks(page or "")
     has_article = any(b.inside for _, b in got)
     labels = [first_label(said, b, has_article) for said, b in got]
-    before: list[int | None] = []
-    last = None
-    for i, x in enumerate(labels):
-        before.append(last)
-        last = i if x is not None else last
-    keep, after = [], None
-    for i in range(len(labels) - 1, -1, -1):
-        x, (said, b) = labels[i], got[i]
-        if x is None:
-            # outside an article a bad neighbour is the page's frame; within it, only article blocks decide
-            near = [k for k in (before[i], after) if k is not None and (not b.inside or got[k][1].inside)]
+
+    def nearest(order) -> list[int | None]:
+        """For each block the last decided one before it in this order; within an article, of its own text only."""
+        out: list[int | None] = [None] * len(got)
+        last = {True: None, False: None}
+        for i in order:
+            b = got[i][1]
+            out[i] = last[b.inside]
+            if labels[i] is not None:
+                last[False] = i
+                if b.inside and not b.bad:
+                    last[True] = i
+        return out
+
+    before, after = nearest(range(len(got))), nearest(range(len(got) - 1, -1, -1))
+    keep = []
+    for i, (said, _) in enumerate(got):
+        chosen = labels[i]
+        if chosen is None:
+            near = [k for k in (before[i], after[i]) if k is not None]
             near.sort(key=lambda k: (abs(k - i), not labels[k]))
-            x_final = labels[near[0]] if near else True
-        else:
-            x_final, after = x, i
-        if x_final:
+            chosen = labels[near[0]] if near else True
+        if chosen:
             keep.append(said)
-    return "\n\n".join(reversed(keep))
+    return "\n\n".join(keep)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -24,7 +24,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """(source, rank, source_size, target) from (source, size); one row per source throughout.
 
     With the sources in the order of cap / weight, the first k are capped and the rest share what is left by weight,
-    for the least k at which the share of the next stays within its cap."""
+    for the least k at which the share of the next stays within its cap; for greater k the share would be lower."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         "*", (F.sum("source_size").over(all_) * share - F.coalesce(F.sum("cap").over(prior), F.lit(0.0))).alias("rest"),
         (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(prior), F.lit(0.0))).alias("w_rest"))
     level = left.withColumn("level", F.when(F.col("rest") / F.col("w_rest") * F.col("w") <= F.col("cap"), F.col("rest") / F.col("w_rest")))
-    return level.select("source", "rank", "source_size", F.least("cap", F.coalesce(F.min("level").over(all_) * F.col("w"), F.col("cap"))).alias("target"))
+    return level.select("source", "rank", "source_size", F.least("cap", F.coalesce(F.max("level").over(all_) * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:

@@ -95,7 +95,7 @@ r AS (
     SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
         sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_rest FROM w),
 t AS (
-    SELECT source, rank, source_size, least(cap, coalesce(min(CASE WHEN rest / w_rest * w <= cap THEN rest / w_rest END) OVER () * w, cap)) AS target FROM r),
+    SELECT source, rank, source_size, least(cap, coalesce(max(CASE WHEN rest / w_rest * w <= cap THEN rest / w_rest END) OVER () * w, cap)) AS target FROM r),
 q AS (
     SELECT d.doc_id, d.source, d.size, t.rank, t.source_size, t.target, turn,
         sum(size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id ROWS UNBOUNDED PRECEDING) AS served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
