@@ -100,7 +100,7 @@ def text_blocks(texts: list[str], limit: int):
         yield start, len(texts)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 32_000_000):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8_000_000):
     """Cut a batch into runs of rows of about limit bytes of the text column, one row at least."""
     col = batch.column(batch.schema.get_field_index(column))
     if not len(col):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_blocks
 
 LETTER = re.compile(r"[^\W\d_]")
-BLOCK = 2_000_000  # code points scored at once
+BLOCK = 500_000  # code points scored at once
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 
 
