@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkspark.llm import decontaminate, langid, mixing, simhash, tokens
 from linkspark.llm.common import bucket_of, store, table
 
+CACHE = 150_000  # chunks that a worker of the last stage remembers; the executors still hold the memory of the stages before
 LEAST_SCORE = 0.5  # a text is rejected as of no known language below this
 
 
@@ -34,7 +35,7 @@ def mixing_stage(spark, docs, sf_dir):
 
 def token_files(spark, docs, sf_dir):
     """Writes the token files and returns the digest read back from them."""
-    return tokens.digest(docs)
+    return tokens.digest(docs, cache=CACHE)
 
 
 STAGES = [

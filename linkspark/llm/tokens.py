@@ -26,10 +26,12 @@ from .common import new_path, shuffle_partitions, slices, store
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LENGTH, ROWS, END = 2048, 64, 0
-CACHE = 1_500_000  # chunks whose ids a worker remembers
+CACHE = 1_000_000  # chunks whose ids a worker remembers
 GRAPH = "!-~¡-ᙿ"  # characters before which a space or a single line break always starts a new piece
 SPACE, LINE = re.compile(f" (?=[{GRAPH}])"), re.compile(f"(?<=[{GRAPH}])\n(?=[{GRAPH}])")
 
+WORD_END = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]{1,4})")  # letters and what ends them are pieces of their own
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -39,17 +41,18 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids of whole texts as bytes. The vocabulary splits text into pieces before it merges bytes, and a space before a
-    visible character always starts a piece, so the ids of a text are those of its chunks in turn. The library encodes
-    each different chunk once; a worker remembers up to CACHE of them."""
+    visible character always starts a piece, so the ids of a text are those of its chunks in turn; so are those of a word
+    and the marks that end it. The library encodes each different chunk once; a worker remembers up to `cache` of them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.after_space: dict[str, bytes] = {}  # by chunk without its space
         self.at_start: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.line = self.ids(["\n"])[0]
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -57,10 +60,15 @@ class Encoder:
 
     def learn(self, known: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > self.cache:
             known.clear()
             new = list(chunks)
-        known.update(zip(new, self.ids([prefix + c for c in new]), strict=True))
+        split = {c: m.groups() for c in new if (m := WORD_END.fullmatch(c))}
+        whole = list({split[c][0] if c in split else c for c in new} - known.keys())
+        known.update(zip(whole, self.ids([prefix + c for c in whole]), strict=True))
+        ends = list({end for _, end in split.values()} - self.ends.keys())
+        self.ends.update(zip(ends, self.ids(ends), strict=True))
+        known.update((c, known[word] + self.ends[end]) for c, (word, end) in split.items())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         docs = [[SPACE.split(line) for line in LINE.split(t or "")] for t in texts]
@@ -70,13 +78,14 @@ class Encoder:
         return [self.line.join([start[line[0]] + join(map(after, line[1:])) for line in d]) for d in docs]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache: int) -> Encoder:
+    if (path, cache) not in _encoders:
+        _encoders.clear()
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -122,7 +131,7 @@ class Writer:
             w.close()
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, text: str = "text", key: str = "doc_id", cache: int = CACHE) -> DataFrame:
     """Encode docs in ascending order of key and write the files. Returns the manifest, one row per file in stream
     order: file, n_docs, n_tokens, start (ids before it)."""
     spark = docs.sparkSession
@@ -137,8 +146,8 @@ def write(docs: DataFrame, tokenizer: str | None = None, folder: str | None = No
 
         out = None
         for big in batches:
-            for b in slices(big, "text", 8_000_000):
-                code = encoder(path)
+            for b in slices(big, "text", 1_000_000):
+                code = encoder(path, cache)
                 out = out or Writer(folder, b.schema.field("doc_id").type, code.dtype)
                 out.add(b.column(0), code(b.column(1).to_pylist()))
         if out:
@@ -196,6 +205,6 @@ def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     return files.mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The op10 contract."""
-    return read(write(docs, tokenizer), docs.schema["doc_id"].dataType.simpleString())
+def digest(docs: DataFrame, tokenizer: str | None = None, cache: int = CACHE) -> DataFrame:
+    """The op10 contract. A smaller cache takes less memory and more time."""
+    return read(write(docs, tokenizer, cache=cache), docs.schema["doc_id"].dataType.simpleString())
