@@ -11,6 +11,7 @@ each other. Empty tables give no files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -28,9 +29,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LENGTH, ROWS, END = 2048, 64, 0
 CACHE = 1_000_000  # chunks whose ids a worker remembers
 GRAPH = "!-~¡-ᙿ"  # characters before which a space or a single line break always starts a new piece
-SPACE, LINE = re.compile(f" (?=[{GRAPH}])"), re.compile(f"(?<=[{GRAPH}])\n(?=[{GRAPH}])")
+SPACE, LINE = re.compile(f" (?=[{GRAPH}])"), re.compile(f"\n(?=[{GRAPH}])(?<=[{GRAPH}]\n)")
 
-WORD_END = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]{1,4})")  # letters and what ends them are pieces of their own
+PLAIN = re.compile(f"[{GRAPH}]+")  # chunks that a line break on either side leaves as they are
+ENDS = ".,;:!?#$%&*"  # pieces of their own after an ASCII letter
+LINES = 1000  # such chunks that the library takes as one text, a chunk a line
 
 
 def default_tokenizer() -> str:
@@ -39,10 +42,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def chunks(line: str) -> list[str]:
+    """The line cut at each space before a visible character."""
+    simple = line.isprintable() and "  " not in line and line[-1:] != " "  # then a visible character follows each space
+    return line.split(" ") if simple else SPACE.split(line)
+
+
 class Encoder:
     """Ids of whole texts as bytes. The vocabulary splits text into pieces before it merges bytes, and a space before a
-    visible character always starts a piece, so the ids of a text are those of its chunks in turn; so are those of a word
-    and the marks that end it. The library encodes each different chunk once; a worker remembers up to `cache` of them."""
+    visible character always starts a piece, so the ids of a text are those of its chunks in turn. The library encodes
+    each different chunk once, many in one text with a chunk a line, as a line break between visible characters (or
+    before a space and one) is a piece of its own; a worker remembers up to `cache` chunks, and when they are too many
+    those that came again since it was half full. Tokenizers of other kinds encode each text whole."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -52,28 +63,54 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.after_space: dict[str, bytes] = {}  # by chunk without its space
         self.at_start: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-        self.line = self.ids(["\n"])[0]
+        self.ends: dict[str, bytes] = {"": b""}
+        self.again: set[str] = set()
+        (self.line,) = self.ids(["\n"])
+        told = json.loads(self.tokenizer.to_str())
+        cut = told["pre_tokenizer"] or {}
+        self.by_chunk = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not told["normalizer"] and len(self.line) == self.dtype.itemsize
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.tobytes() for x in self.encode(texts)]
+
+    def lines(self, chunks: list[str], prefix: str) -> list[bytes]:
+        """Ids of each of the chunks, all of them PLAIN, behind the prefix."""
+        out, w, line = [], self.dtype.itemsize, np.frombuffer(self.line, self.dtype)[0]
+        for x in self.encode([prefix + ("\n" + prefix).join(chunks[i:i + LINES]) for i in range(0, len(chunks), LINES)]):
+            data, ends = x.tobytes(), [*(np.flatnonzero(x == line) * w).tolist(), len(x) * w]
+            out += [data[a:b] for a, b in zip([0, *(e + w for e in ends[:-1])], ends, strict=True)]
+        return out
 
     def learn(self, known: dict[str, bytes], chunks: set[str], prefix: str) -> None:
-        new = [c for c in chunks if c not in known]
+        new = chunks.difference(known)
         if len(known) + len(new) > self.cache:
+            kept = {c: known[c] for c in self.again if c in known} if 2 * len(self.again) <= self.cache else {}
             known.clear()
-            new = list(chunks)
-        split = {c: m.groups() for c in new if (m := WORD_END.fullmatch(c))}
-        whole = list({split[c][0] if c in split else c for c in new} - known.keys())
-        known.update(zip(whole, self.ids([prefix + c for c in whole]), strict=True))
-        ends = list({end for _, end in split.values()} - self.ends.keys())
-        self.ends.update(zip(ends, self.ids(ends), strict=True))
-        known.update((c, known[word] + self.ends[end]) for c, (word, end) in split.items())
+            known.update(kept)
+            self.again.clear()
+            new = chunks.difference(known)
+        elif 2 * len(known) > self.cache:
+            self.again |= chunks - new
+        plain = list(filter(PLAIN.fullmatch, new))
+        bare = [w if (w := c.rstrip(ENDS))[-1:].isascii() and w[-1:].isalpha() else c for c in plain]
+        words = list(set(bare).difference(known))
+        known.update(zip(words, self.lines(words, prefix), strict=True))
+        ends = [c[len(w):] for c, w in zip(plain, bare, strict=True)]
+        late = list(set(ends).difference(self.ends))
+        self.ends.update(zip(late, self.ids(late), strict=True))
+        known.update((c, known[w] + self.ends[e]) for c, w, e in zip(plain, bare, ends, strict=True) if e)
+        rest = list(new.difference(plain))
+        known.update(zip(rest, self.ids([prefix + c for c in rest]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        docs = [[SPACE.split(line) for line in LINE.split(t or "")] for t in texts]
+        if not self.by_chunk:
+            return self.ids([t or "" for t in texts])
+        docs = [[chunks(line) for line in LINE.split(t or "")] for t in texts]
         self.learn(self.at_start, {line[0] for d in docs for line in d}, "")
-        self.learn(self.after_space, {c for d in docs for line in d for c in line[1:]}, " ")
+        self.learn(self.after_space, set().union(*(line[1:] for d in docs for line in d)), " ")
         start, after, join = self.at_start, self.after_space.__getitem__, b"".join
         return [self.line.join([start[line[0]] + join(map(after, line[1:])) for line in d]) for d in docs]
 

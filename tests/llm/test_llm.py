@@ -372,3 +372,16 @@ def test_stages(spark, docs, tmp_path):
             assert 6 not in [r["doc_id"] for r in now.collect()]
     assert now.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert p.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_small_cache_and_other_tokenizers():
+    """A cache that overflows with every call gives the same ids; a tokenizer that is not byte-level takes texts whole."""
+    import public_tokenizers
+
+    e = tokens.Encoder(tokens.default_tokenizer(), 4)
+    for _ in range(2):
+        assert [e([t]) for t in TEXTS] == [e.ids([t]) for t in TEXTS] and e(TEXTS) == e.ids(TEXTS)
+    odd = ["a  b", " a", "a ", "a \n b", "x, y,, z--, 12, é, é. ,,", "a\nb\n\nc", "it's 's, a'", "\x85a b\xa0c d", "²,", "अ, क्", "\r\n a\tb", "a b c"]
+    assert e(odd) == e.ids(odd) and [e([t]) for t in odd] == [e.ids([t]) for t in odd]
+    whole = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not whole.by_chunk and whole(odd) == whole.ids(odd)
