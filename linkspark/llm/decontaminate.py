@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from .common import store
 
 WIDTH = 13
-RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words before A-Z are lower-cased
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words, before A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_TERMS = 200_000  # more query terms than this are joined by a shuffle
 
 
 def raw_words(text: str | Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(RAW), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def lowered(c: Column) -> Column:
