@@ -1,29 +1,32 @@
 """Language-model scoring by prediction by partial matching, beside a unigram base score.
 
 Texts are lower-cased (A-Z) words without ASCII white space, joined by one space, and an end symbol. The model is a trie
-of byte contexts of up to three symbols with counts from all training texts. A symbol not yet seen after a context costs
+of byte contexts of up to CONTEXT symbols with counts from all training texts. A symbol not yet seen after a context costs
 an escape (method C: different symbols over occurrences plus different symbols) to the context one shorter, in which the
-symbols seen after the longer one are excluded; the last resort is uniform. The trie is compiled to one table of log10
-probabilities by context and symbol. The CLASSES - 2 most frequent bytes have symbols of their own, the end has symbol 0
-and other bytes share the last one, from which they are told apart uniformly. A zero byte counts as byte 1.
+symbols seen after the longer one are excluded; the last resort is uniform. Every byte value and the end has a symbol.
+
+The trie is a table of paths (context and symbol) with counts, dealt into parts by the last three symbols of the context,
+so a part has all longer contexts of its own; contexts of up to two symbols are bounded and broadcast. Texts are taken in
+lots; each lot asks the parts for the costs of its different paths and is summed when they are back. Words go the same way.
 
 Null texts are empty: only the end is scored. Without training texts all symbols are alike. Repeated rows score alike.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, slices, store
+from .common import bucket_of, shuffle_partitions, slices, store, text_blocks
 
-CLASSES, ORDER = 56, 3
+CONTEXT, BITS = 5, 9
+CLASSES, ORDER = 56, 3  # of the dense table, which the tests compare with
+LOT, BLOCK = 8_000_000, 1_000_000  # bytes of text asked for at once, and worked on at once
+DOCS, PATHS, TOKENS = 0, 1, 2  # kinds of rows
 END = 4611686018427387903  # stands for the end token among the hashes of words
 
 
@@ -31,20 +34,6 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def stream(text: bytes | None) -> bytes:
-    """Bytes of a text between three start symbols and its end symbol."""
-    return b"\0\0\0" + b" ".join(words(text)).replace(b"\0", b"\1") + b"\0"
-
-
-def classes_of(histogram: np.ndarray) -> np.ndarray:
-    """Symbol of each byte, from byte counts (ties: the lower byte)."""
-    own = [b for b in np.lexsort((np.arange(256), -histogram)).tolist() if b][:CLASSES - 2]
-    out = np.full(256, CLASSES - 1, np.int32)
-    out[own] = np.arange(1, CLASSES - 1)
-    out[0] = 0
-    return out
-
-
 def paths(symbols: np.ndarray) -> np.ndarray:
     """Trie path (three symbols of context, then the symbol) that ends at each symbol from the fourth on."""
     out = symbols[:-ORDER].astype(np.int32)
@@ -53,12 +42,6 @@ def paths(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(streams: list[bytes]) -> np.ndarray:
-    """First and last (exclusive) path of each stream when they are joined, in turn."""
-    ends = np.cumsum([len(s) for s in streams])
-    return np.stack([ends - [len(s) for s in streams], ends - ORDER], axis=1).ravel()
-
-
 def below(counts: np.ndarray, shorter: np.ndarray, escaped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """For contexts with counts by symbol (last axis): probabilities, and those after an escape from them.
 
@@ -80,7 +63,7 @@ def below(counts: np.ndarray, shorter: np.ndarray, escaped: np.ndarray | None) -
 
 
 def compiled(at: np.ndarray, n: np.ndarray, rare_bytes: int) -> np.ndarray:
-    """log10 probability of every path, from the paths that occur and their counts."""
+    """log10 probability of every path of a small alphabet in one dense table, from the paths that occur and their counts."""
     dense = np.zeros(CLASSES ** (ORDER + 1), np.float32)
     dense[at] = n
     dense = dense.reshape(CLASSES, CLASSES, CLASSES, CLASSES)
@@ -97,101 +80,236 @@ def compiled(at: np.ndarray, n: np.ndarray, rare_bytes: int) -> np.ndarray:
     return dense.ravel()
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def fit(train: DataFrame, text: str = "text"):
-    """Model (symbols by byte, paths, counts) from all rows of train. The driver gets at most CLASSES ** 4 counts."""
-    rows = train.select(F.col(text).alias("text"))
-
-    def tally(batches):
-        h = np.zeros(256, np.int64)
-        for big in batches:
-            for b in slices(big, "text", 8_000_000):
-                for t in b.column(0).cast(pa.binary()).to_pylist():
-                    h += np.bincount(np.frombuffer(stream(t), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(h)], names=["byte", "n"])
-
-    got = rows.mapInArrow(tally, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
-    histogram = np.zeros(256, np.int64)
-    histogram[got["byte"].to_numpy(int)] = got["n"].to_numpy(np.int64)
-    symbols = classes_of(histogram)
-
-    def count(batches):
-        sums = np.zeros(CLASSES ** (ORDER + 1), np.int64)
-        for big in batches:
-            for b in slices(big, "text", 8_000_000):
-                streams = [stream(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
-                path = paths(symbols.take(np.frombuffer(b"".join(streams), np.uint8)))
-                keep = np.ones(len(path), bool)
-                for k in range(1, ORDER + 1):  # paths that end in the start symbols of the next text
-                    keep[spans(streams)[2::2] - k] = False
-                found = np.bincount(path[keep])
-                sums[:len(found)] += found
-        (at,) = sums.nonzero()
-        for i in range(0, len(at), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 200_000].astype(np.int32)), pa.array(sums[at[i:i + 200_000]])], names=["path", "n"])
-
-    got = rows.mapInArrow(count, "path int, n bigint").groupBy("path").agg(F.sum("n").alias("n")).toPandas()
-    return symbols, got["path"].to_numpy(np.int32), got["n"].to_numpy(np.float32)
-
-
-def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs and score, the log10 probability of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", score double"
-
+def low(k: int) -> int:
+    """Mask of the last k symbols of a path."""
+    return (1 << BITS * k) - 1
+
+
+def lot_paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Paths (CONTEXT symbols, then the symbol) of the texts of words in turn, and how many each text has."""
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    pad = b"\0" * CONTEXT
+    symbols = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8).astype(np.int64) + 1
+    ends = np.cumsum(sizes + CONTEXT)
+    symbols[ends - 1] = 0
+    real = np.ones(len(symbols), bool)
+    for k in range(CONTEXT):
+        symbols[ends - sizes - 1 - k] = 0
+        real[ends - sizes - 1 - k] = False
+    out = np.zeros(max(0, len(symbols) - CONTEXT), np.int64)
+    for k in range(CONTEXT + 1):
+        out <<= BITS
+        out |= symbols[k:len(symbols) - CONTEXT + k]
+    return out[real[CONTEXT:]], sizes
+
+
+def lot_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different token hashes (sorted), the place among them of each token of the texts in turn, tokens of each text."""
+    index: dict = {None: 0}
+    ids: list[int] = []
+    sizes = []
+    for t in texts:
+        said = t.split()
+        ids += [index.setdefault(w, len(index)) for w in said]
+        ids.append(0)
+        sizes.append(len(said) + 1)
+    hashes = np.array([END, *(xxhash.xxh64_intdigest(w) for w in list(index)[1:])], np.uint64).view(np.int64)
+    different, place = np.unique(hashes, return_inverse=True)
+    return different, place[np.array(ids, np.int64)], np.array(sizes, np.int64)
+
+
+def packed(a: np.ndarray) -> bytes:
+    return a.nbytes.to_bytes(8, "little") + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd"), dtype)
+
+
+def part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
+    if kind == PATHS:
+        keys = keys >> BITS & low(3)
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sums of n."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def costs(asked: np.ndarray, paths: np.ndarray, n: np.ndarray, short: np.ndarray, short_n: np.ndarray) -> np.ndarray:
+    """log10 probability of the paths asked. paths and n: different paths and counts, all those that share three last
+    symbols of context with a path asked; short and short_n: those of the paths of two symbols of context, of the whole corpus."""
+    out, open_ = np.zeros(len(asked)), np.ones(len(asked), bool)
+    left_n, left_d = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)  # excluded occurrences and symbols
+    tables = [summed(short & low(k + 1), short_n) if k < 3 else summed(paths & low(k + 1), n) for k in range(CONTEXT + 1)]
+    for k in range(CONTEXT, -1, -1):
+        table, count = tables[k]
+        if not len(table):
+            continue
+        contexts, first = np.unique(table >> BITS, return_index=True)
+        total, different = np.add.reduceat(count, first), np.diff(np.append(first, len(table)))
+        shorter = np.add.reduceat(tables[k - 1][1][np.searchsorted(tables[k - 1][0], table & low(k))], first) if k else total
+        want = asked & low(k + 1)
+        c, known = found(contexts, want >> BITS)
+        at, seen = found(table, want)
+        d = different[c] - left_d
+        use = open_ & known & (d > 0)
+        all_ = total[c] - left_n + np.where(different[c] > 256, 0, d)
+        out += np.where(use, np.log10(np.where(use, np.where(seen, count[at], d), 1) / np.where(use, all_, 1)), 0)
+        open_ &= ~seen
+        left_n, left_d = np.where(known, shorter[c], 0), np.where(known, different[c], 0)
+    return out - np.where(open_, np.log10(np.maximum(1, 257 - left_d)), 0)
+
+
+ROW = "owner bigint, kind int, part int, a binary, b binary"
+NAMES = ["owner", "kind", "part", "a", "b"]
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    names = [*NAMES, "n", "v"][:len(rows[0])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types)], names=names)
+
+
+def asked(docs: DataFrame, parts: int) -> DataFrame:
+    """Of each lot of docs (doc_id, held_out, text): the lot, and by part its different paths and tokens with their training counts."""
     def run(batches):
-        symbols, at, n = shared.value
-        mark = zlib.crc32(symbols.tobytes() + at.tobytes() + n.tobytes())
-        if mark not in _tables:
-            _tables.clear()
-            _tables[mark] = compiled(at, n, int((symbols == CLASSES - 1).sum()))
-        table = _tables[mark]
+        owner = TaskContext.get().partitionId() << 32
         for big in batches:
-            for b in slices(big, "_text", 8_000_000):
-                streams = [stream(t) for t in b.column(len(keep)).cast(pa.binary()).to_pylist()]
-                # a last element lets the end of the last stream be a bound
-                cost = np.append(table.take(paths(symbols.take(np.frombuffer(b"".join(streams), np.uint8)))), np.float32(0))
-                total = np.add.reduceat(cost, spans(streams), dtype=np.float64)[::2]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(total)], names=[*keep, "score"])
+            for b in slices(big, "text", LOT):
+                texts = [b" ".join(words(t)) for t in b.column(2).cast(pa.binary()).to_pylist()]
+                sink = pa.BufferOutputStream()
+                lot = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.large_binary())], names=["doc_id", "held_out", "text"])
+                with pa.ipc.new_stream(sink, lot.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(lot)
+                yield batch([(owner, DOCS, -1, sink.getvalue().to_pybytes(), None)])
+                train = ~b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                got = []
+                for x, y in text_blocks(texts, BLOCK):
+                    path, sizes = lot_paths(texts[x:y])
+                    of_train = np.repeat(train[x:y], sizes)
+                    got.append(np.unique(path[of_train], return_counts=True))
+                    no = np.unique(path[~of_train])
+                    got.append((no, np.zeros(len(no), np.int64)))
+                keys, count = summed(*(np.concatenate(q) for q in zip(*got, strict=True)))
+                count = count.astype(np.int32)
+                token, place, sizes = lot_tokens(texts)
+                t_count = np.bincount(place[np.repeat(train, sizes)], minlength=len(token)).astype(np.int32)
+                for kind, k, c in ((PATHS, keys, count), (TOKENS, token, t_count)):
+                    p = part_of(k, kind, parts)
+                    order = np.argsort(p, kind="stable")
+                    cuts = np.searchsorted(p[order], np.arange(parts + 1)).tolist()
+                    k, c = k[order], c[order]
+                    yield batch([(owner, kind, i, packed(np.diff(k[x:y], prepend=0)), packed(c[x:y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x])
+                owner += 1
+
+    return docs.mapInArrow(run, ROW)
+
+
+def groups(batches, columns: tuple[int, ...]):
+    """Runs of rows (tuples) that agree in the columns, of sorted batches."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and any(held[-1][k] != row[k] for k in columns):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def decoded(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of each row, and the different keys of all with the sums of their counts."""
+    keys = [np.cumsum(unpacked(r[3], np.int64)) for r in rows]
+    return keys, *summed(np.concatenate(keys), np.concatenate([unpacked(r[4], np.int32) for r in rows]).astype(np.int64))
+
+
+def shortest(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Paths of two symbols of context and their counts: 257 ** 3 at most, whatever the input."""
+    def run(batches):
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            for k, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                k, c = summed(np.cumsum(unpacked(k, np.int64)) & low(3), unpacked(c, np.int32).astype(np.int64))
+                key, n = summed(np.concatenate([key, k]), np.concatenate([n, c]))
+        yield pa.RecordBatch.from_arrays([pa.array(key[n > 0]), pa.array(n[n > 0])], names=["path", "n"])
 
-    return rows.mapInArrow(run, ddl)
+    got = rows.where(F.col("kind") == PATHS).mapInArrow(run, "path bigint, n bigint").groupBy("path").agg(F.sum("n").alias("n")).toPandas().sort_values("path")
+    return got["path"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """(key, token, n): the different tokens of each row of docs (key, text); a token is the 64-bit hash of its word."""
-    def run(batches):
-        for big in batches:
-            for b in slices(big, "text", 4_000_000):
-                keys, tokens, counts, sizes = b.column(0).to_numpy(), [], [], []
-                for t in b.column(1).cast(pa.binary()).to_pylist():
-                    c = Counter(words(t))
-                    tokens += map(xxhash.xxh64_intdigest, c)
-                    tokens.append(END)
-                    counts += c.values()
-                    counts.append(1)
-                    sizes.append(len(c) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(np.array(tokens, np.uint64).view(np.int64)), pa.array(np.array(counts, np.int32))], names=["key", "token", "n"])
+def answered(rows: DataFrame) -> DataFrame:
+    """For each row of keys: costs of paths (float) or training counts of tokens (long); n and v: training tokens and different ones of the part."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(shortest(rows))
 
-    return docs.select("key", "text").mapInArrow(run, "key bigint, token bigint, n int")
+    def run(batches):
+        for held in groups(batches, (1, 2)):
+            keys, every, n = decoded(held)
+            if held[0][1] == PATHS:
+                said = costs(every, every[n > 0], n[n > 0], *shared.value).astype(np.float32)
+                total = v = 0
+            else:
+                said, total, v = n, int(n.sum()), int((n > 0).sum())
+            for i, (r, k) in enumerate(zip(held, keys, strict=True)):
+                yield batch([(*r[:3], packed(said[np.searchsorted(every, k)]), None, 0 if i else total, 0 if i else v)])
+
+    dealt = rows.where(F.col("kind") != DOCS).repartition(shuffle_partitions(spark), "kind", "part").sortWithinPartitions("kind", "part")
+    return dealt.mapInArrow(run, ROW + ", n bigint, v bigint")
+
+
+def filled(rows: list[tuple], kind: int, keys: np.ndarray, parts: int, dtype) -> np.ndarray:
+    """Answers in the order of keys."""
+    p, out = part_of(keys, kind, parts), np.zeros(len(keys), dtype)
+    order = np.argsort(p, kind="stable")
+    out[order] = np.concatenate([unpacked(r[3], dtype) for r in sorted((r for r in rows if r[1] == kind), key=lambda r: r[2])])
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The op8 contract."""
-    rows = docs.select("doc_id", "text", bucket_of("doc_id", 5, 1).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
-    train = rows.where("NOT held_out")
-    known = store(token_rows(train).groupBy("token").agg(F.sum("n").alias("c")), "ppm-vocabulary")
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    c = F.coalesce(F.col("c"), F.lit(0))
-    each = token_rows(rows).join(known, "token", "left")
-    base = each.groupBy("key").agg(
-        F.sum("n").cast("bigint").alias("n_tokens"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).cast("bigint").alias("n_known"),
-        F.sum(F.col("n") * F.log10((c + 0.5) / (n + 0.5 * (v + 1)))).alias("base_score"), F.sum((F.col("token") == END).cast("int")).alias("rows"))
-    base = store(base, "ppm-base")
-    told = store(scored(rows, fit(train), keep=("doc_id", "held_out", "key")), "ppm-scores")
-    whole = (F.col("n_tokens") / F.col("rows")).cast("bigint"), (F.col("n_known") / F.col("rows")).cast("bigint")  # rows that repeat are summed
-    return told.join(base, "key").select(
-        "doc_id", "held_out", whole[0].alias("n_tokens"), whole[1].alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        F.round(F.col("base_score") / F.col("rows"), 6).alias("base_score"), F.col("score"))
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", bucket_of("doc_id", 5, 1).alias("held_out"), "text")
+    parts = 4 * shuffle_partitions(spark)
+    lots = store(asked(rows, parts), "ppm-lots")
+    told = store(answered(lots), "ppm-answers")
+    n, v = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    def run(batches):
+        for held in groups(batches, (0,)):
+            lot = pa.ipc.open_stream(next(r[3] for r in held if r[1] == DOCS)).read_next_batch()
+            texts = lot.column(2).to_pylist()
+            blocks = []
+            for x, y in text_blocks(texts, BLOCK):
+                path, sizes = lot_paths(texts[x:y])
+                different, place = np.unique(path, return_inverse=True)
+                blocks.append((different, place.astype(np.int32), np.cumsum(sizes) - sizes))
+            keys = np.unique(np.concatenate([b[0] for b in blocks]))
+            cost = filled(held, PATHS, keys, parts, np.float32)
+            score = np.concatenate([np.add.reduceat(cost[np.searchsorted(keys, different)][place], first, dtype=np.float64) for different, place, first in blocks])
+            token, place, sizes = lot_tokens(texts)
+            c = filled(held, TOKENS, token, parts, np.int64)
+            first = np.cumsum(sizes) - sizes
+            known = np.add.reduceat((c > 0)[place], first, dtype=np.int64)
+            base = np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[place], first)
+            yield pa.RecordBatch.from_arrays(
+                [lot.column(0), lot.column(1), pa.array(sizes), pa.array(known), pa.array(np.full(len(texts), n, np.int64)), pa.array(np.round(base, 6)), pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    both = lots.where(F.col("kind") == DOCS).unionByName(told.select(*NAMES)).repartition(shuffle_partitions(spark), "owner").sortWithinPartitions("owner", "kind", "part")
+    return both.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

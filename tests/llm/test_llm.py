@@ -317,6 +317,55 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "</p>";</sc
 <footer>&copy; all <a href=x>links</a></footer></body"""
 
 
+def test_ppm_costs_by_hand():
+    """Costs of the distributed trie against escapes with exclusion, over all byte values and contexts of five symbols."""
+    r = np.random.default_rng(4)
+    texts = [bytes(r.choice([0, 1, 48, 57, 64, 97, 98, 195, 255], r.integers(0, 60)).astype(np.uint8)) for _ in range(60)]
+    paths, sizes = ppm.lot_paths(texts)
+    assert sizes.tolist() == [len(t) + 1 for t in texts] and len(paths) == sizes.sum()
+    counts: dict = {}
+    asked = []
+    for k, t in enumerate(texts):
+        symbols = [0] * ppm.CONTEXT + [b + 1 for b in t] + [0]
+        for i in range(ppm.CONTEXT, len(symbols)):
+            asked.append((tuple(symbols[i - ppm.CONTEXT:i]), symbols[i]))
+            for o in range(ppm.CONTEXT + 1 if k < 30 else 0):
+                counts.setdefault(tuple(symbols[i - o:i]), Counter())[symbols[i]] += 1
+
+    def p(context, s):
+        left, out = set(), 1.0
+        for o in range(ppm.CONTEXT, -1, -1):
+            seen = {x: m for x, m in counts.get(context[ppm.CONTEXT - o:], {}).items() if x not in left}
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if s in seen:
+                return out * seen[s] / total
+            out *= len(seen) / total
+            left |= set(seen)
+        return out / (257 - len(left))
+
+    train, n = np.unique(paths[:sizes[:30].sum()], return_counts=True)
+    short, short_n = ppm.summed(train & ppm.low(3), n)
+    got = ppm.costs(paths, train, n, short, short_n)
+    assert got == pytest.approx([log10(p(*a)) for a in asked], abs=1e-9)
+    unseen = np.array([200 + 1 << ppm.BITS | 7])
+    assert ppm.costs(unseen, train[:0], n[:0], short[:0], short_n[:0])[0] == pytest.approx(-log10(257))
+
+
+def test_ppm_keeps_rare_bytes(spark):
+    """Bytes outside the most frequent ones are learned like others, and contexts are longer than three symbols."""
+    common = " ".join(chr(c) * 9 for c in range(97, 123)) + " " + "".join(map(chr, range(0x100, 0x180))) * 9
+    rows = [(i, t) for i, t in enumerate([common, "tel 7777777", "tel 7777777", "wxabc 1! yzabc 2! " * 9 + "wxabc 1!", "wxabc 1! yzabc 2! " * 9], 200)] + [(300 + i, t) for i, t in enumerate(["777", "779", "wxabc 1!", "wxabc 2!"])]
+    rows = [(next(k for k in range(j * 1000, j * 1000 + 99) if (zlib.crc32(str(k).encode()) % 5 == 1) == (j >= 300)), t) for j, t in rows]
+    got = [r["score"] for r in sorted(ppm.digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect(), key=lambda r: r["doc_id"])]
+    assert got[5] > got[6] + 0.5 and got[7] > got[8] + 0.5
+    paths, sizes = ppm.lot_paths([b" ".join(ppm.words(t.encode())) for _, t in rows])
+    train, n = np.unique(paths[:sizes[:5].sum()], return_counts=True)
+    whole = ppm.costs(paths, train, n, *ppm.summed(train & ppm.low(3), n))
+    assert got == pytest.approx(np.add.reduceat(whole, np.cumsum(sizes) - sizes).tolist(), abs=1e-3)
+
+
 def test_html(spark):
     assert html.main_text(PAGE) == "Title & more\n\nThe first of the words in the long paragraph that is here for all to see and read, with more of it to come. next line\n\nShort.\n\n© kept"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav><a>x</a></nav>") == ""
