@@ -83,6 +83,15 @@ def test_model_spans(text, kinds):
     assert [k for _, _, k in pii.found_spans(text, pii.base_spans(text))] == kinds
 
 
+def test_model_long_runs():
+    """Every number of a long list is found, and none that goes on as a word."""
+    for n in (6, 500):
+        phones, cards = " ".join(f"555-123-{4567 + k}" for k in range(n)), " ".join(["4111/1111/1111/1111"] * n)
+        for text, kind, size in ((phones, "phone", 12), (cards, "card", 19)):
+            assert pii.found_spans(f"a {text} b", []) == [(2 + k * (size + 1), 2 + k * (size + 1) + size, kind) for k in range(n)]
+    assert [text for text in ("702-555-0742x", "4111111111111111_") if pii.found_spans(text, [])] == []
+
+
 def test_pii_query(spark, docs):
     extra = spark.createDataFrame([(1, "mail a@b.co and +1 (702) 555-0742"), (2, None), (3, "")], "doc_id bigint, text string")
     a, b, c = by_id(pii.find(extra))
