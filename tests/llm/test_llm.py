@@ -92,6 +92,15 @@ def test_model_long_runs():
     assert [text for text in ("702-555-0742x", "4111111111111111_") if pii.found_spans(text, [])] == []
 
 
+@pytest.mark.parametrize("text, said", [
+    ("97.51.17.173 (702) 555-0742", [("(702) 555-0742", "phone")]), ("10.20.30.40 4111-1111-1111-1111", [("4111-1111-1111-1111", "card")]),
+    ("4111/1111/1111/1111 10.20.30.40 702-555-0742", [("4111/1111/1111/1111", "card"), ("702-555-0742", "phone")]),
+])
+def test_model_beside_base_spans(text, said):
+    base = pii.base_spans(text)
+    assert base and [(text[a:b], k) for a, b, k in pii.found_spans(text, base)] == said
+
+
 def test_pii_query(spark, docs):
     extra = spark.createDataFrame([(1, "mail a@b.co and +1 (702) 555-0742"), (2, None), (3, "")], "doc_id bigint, text string")
     a, b, c = by_id(pii.find(extra))
