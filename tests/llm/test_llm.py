@@ -101,6 +101,17 @@ def test_model_beside_base_spans(text, said):
     assert base and [(text[a:b], k) for a, b, k in pii.found_spans(text, base)] == said
 
 
+@pytest.mark.parametrize("text, said", [
+    ("escriba a juan arroba ejemplo punto com hoy", [("juan arroba ejemplo punto com", "email")]), ("write john at example.com now", [("john at example.com", "email")]),
+    ("kontakt anna (at) beispiel punkt de bitte", [("anna (at) beispiel punkt de", "email")]), ("courriel marc arobase exemple point fr merci", [("marc arobase exemple point fr", "email")]),
+    ("mail first.last (at) mail (dot) example (dot) com now", [("first.last (at) mail (dot) example (dot) com", "email")]),
+    ("host 10(dot)0(dot)0(dot)1 up", [("10(dot)0(dot)0(dot)1", "ip")]), ("host 10 . 0 . 0 . 1 up", [("10 . 0 . 0 . 1", "ip")]),
+    ("we arrive at the point of no return", []), ("it stops at this point in time", []), ("they met at noon. then", []),
+])
+def test_model_spelled_out(text, said):
+    assert [(text[a:b], k) for a, b, k in pii.found_spans(text, pii.base_spans(text))] == said
+
+
 def test_pii_query(spark, docs):
     extra = spark.createDataFrame([(1, "mail a@b.co and +1 (702) 555-0742"), (2, None), (3, "")], "doc_id bigint, text string")
     a, b, c = by_id(pii.find(extra))
