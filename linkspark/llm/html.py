@@ -25,7 +25,9 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+MAYBE = re.compile(r"hidden|display", re.I)
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|signup|sidebar\w*|aside|widget\w*|"
     r"menu\w*|nav|navbar|navigation|breadcrumbs?|toolbar|pagination|pager|footer\w*|masthead|site-header|header|comments?|commentlist|replies|disqus|related|recommend\w*|share|sharing|social|tags|login|search|contentinfo|complementary|copyright)(?=$|[\s_-])", re.I)
@@ -41,6 +43,21 @@ DENSE, THIN = 0.30, 0.10  # share of stop words
 LINKED = 0.4  # share of characters in links
 
 
+def hidden(attrs: str) -> bool:
+    """Whether attributes take an element off the page: hidden itself (but "until-found"), aria-hidden, display: none."""
+    if not MAYBE.search(attrs):
+        return False
+    seen = set()
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), entities.unescape((m[2] or "").strip("\"'")).strip().lower()
+        if name in seen:
+            continue  # the first of an attribute counts
+        seen.add(name)
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and UNSEEN.search(value):
+            return True
+    return False
+
+
 class Block:
     __slots__ = ("parts", "linked", "bad", "inside", "heading")
 
@@ -103,7 +120,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             continue
         bad, inside = stack[-1][1:] if stack else (False, False)
         tags = " ".join(x.strip("\"'") for x in NAMED.findall(attrs)) if attrs else ""
-        away = name in AWAY or name == "header" and not inside or bool(attrs and HIDDEN.search(attrs)) or bool(tags and name not in ("body", "html", "main") and ASIDE.search(tags))
+        away = name in AWAY or name == "header" and not inside or bool(attrs and hidden(attrs)) or bool(tags and name not in ("body", "html", "main") and ASIDE.search(tags))
         stack.append((name, bad or away, inside or name in ("article", "main")))
     text(page[at:])
     return [(said, b) for b in found if (said := " ".join("".join(b.parts).split()))]
@@ -125,7 +142,7 @@ def first_label(said: str, b: Block, has_article: bool) -> bool | None:
 
 def main_text(page: str | None) -> str:
     got = blocks(page or "")
-    has_article = any(b.inside for _, b in got)
+    has_article = any(b.inside and not b.bad for _, b in got)
     labels = [first_label(said, b, has_article) for said, b in got]
 
     def nearest(order) -> list[int | None]:

@@ -410,6 +410,16 @@ def test_html(spark):
 TEXTS = ["a  b\n\nc d", " lead", "trail ", "tab\tx  y", "line\nbreak \n z", "don't stop now", "中文 a b", "<|endoftext|> x", "a ​ b", "\r\n x", "é è\nß ü", "x" * 5000, "!? ...\n#1 a", ""]
 
 
+def test_html_hidden_and_teasers():
+    said = "This is the text of the article and it has all of the words that a reader would want to have in it. " * 3
+    for attrs in ('class="overflow-hidden"', "style='overflow:hidden'", 'data-state="not hidden"', 'hidden="until-found"', "data-hidden", 'title="display: none"'):
+        assert html.main_text(f"<body {attrs}><div {attrs}><p>{said}</p></div></body>") == said.strip(), attrs
+    for attrs in ("hidden", 'hidden=""', 'HIDDEN="hidden"', 'class="a" hidden', 'aria-hidden="true"', 'style="color: red; display : none"'):
+        assert html.main_text(f"<div {attrs}><p>{said}</p></div>") == "", attrs
+    page = f"<div><p>{said}</p></div><aside><article><p>Read this one as well, it is on the list of all that we have for you.</p></article></aside>"
+    assert html.main_text(page) == said.strip()
+
+
 def test_chunks_encode_like_whole_texts():
     e = tokens.Encoder(tokens.default_tokenizer())
     assert e(TEXTS) == e.ids(TEXTS) and e([None]) == [b""]
