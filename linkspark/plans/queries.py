@@ -74,6 +74,23 @@ def select_representation(spark, sf_dir):
     return records.preprocess(df).select(F.col("entity_id").cast("int").alias("id"), "name_clean", F.array_join("name_tokens", " ").alias("name_tokens"), F.array_join("name_tokens_translit", " ").alias("name_tokens_translit"))
 
 
+def _texts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def script_flag_documents(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", has_nonlatin(F.col("text")).alias("has_nonlatin"))
+
+
+def translit_documents(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", transliterated(F.col("text")).alias("translit"))
+
+
+def select_representation_documents(spark, sf_dir):
+    df = _texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("entity_id"), F.col("text").alias("business_name"), F.lit("").alias("business_address"))
+    return records.preprocess(df).select(F.col("entity_id").cast("bigint").alias("doc_id"), "name_clean", F.array_join("name_tokens", " ").alias("name_tokens"), F.array_join("name_tokens_translit", " ").alias("name_tokens_translit"))
+
+
 def preprocess_record(spark, sf_dir):
     out = records.record_features(A.s1(spark, sf_dir).drop("k"))
     return _list_text(out, LISTS)
@@ -197,6 +214,7 @@ QUERIES = {
     "city_tokens": lambda s, d: _addresses(s, d, ("city_tokens",)),
     "country_code": country_code,
     "script_flag": script_flag,
+    "script_flag_documents": script_flag_documents,
     "translit_names": translit_names,
     "select_representation": select_representation,
     "preprocess_record": preprocess_record,
@@ -221,6 +239,12 @@ QUERIES = {
     "pair_features": pair_features,
 }
 
+# SQL can't express the transliteration of any text; tests compare these with brute force on a table of their own.
+WITHOUT_SQL = {
+    "translit_documents": translit_documents,
+    "select_representation_documents": select_representation_documents,
+}
+
 # SQL ------------------------------------------------------------------------------------------------------------------
 
 W = r"[\p{L}\p{N}_]"
@@ -316,6 +340,7 @@ SQL = {
     **{k: _address_query(k) for k in ("address_numbers", "street_number", "postal_code", "unit_number", "state_code", "city_tokens")},
     "country_code": f"{ALL} SELECT entity_id, {CODED} AS country FROM s1",
     "script_flag": f"SELECT id, CAST(regexp_matches(s, '[\\x{{0900}}-\\x{{0D7F}}]') AS INT) AS has_nonlatin FROM (VALUES {_values(enumerate(SAMPLES))}) AS v(id, s)",
+    "script_flag_documents": r"SELECT doc_id, CAST(regexp_matches(coalesce(text, ''), '[\x{0900}-\x{0D7F}]') AS INT) AS has_nonlatin FROM documents",
     "translit_names": f"SELECT id, s AS translit FROM (VALUES {_values(enumerate(SPELLED))}) AS v(id, s)",
     "select_representation": f"SELECT id, lower(s) AS name_clean, array_to_string(regexp_extract_all(lower(s), '{W}+'), ' ') AS name_tokens, CASE WHEN id < 10 THEN array_to_string(regexp_extract_all(lower(s), '{W}+'), ' ') END AS name_tokens_translit FROM (VALUES {_values(enumerate(SPELLED))}) AS v(id, s)",
     "preprocess_record": f"{ALL}, u AS (SELECT * FROM s1), {RECORD} SELECT * EXCLUDE (k) FROM r",
