@@ -31,9 +31,9 @@ def unit_number(raw: Column) -> Column:
 
 def state_code(raw: Column) -> Column:
     """The first state key, in the order of the list, that occurs as a whole word; upper case, or ''."""
-    hits = F.transform(all_matches(blank(raw), R.STATE), F.lower)
-    order = F.array(*map(F.lit, R.STATES))
-    return F.upper(F.coalesce(F.get(F.filter(order, lambda s: F.array_contains(hits, s)), F.lit(0)), F.lit("")))
+    rank = F.create_map(*[F.lit(x) for place, s in enumerate(R.STATES) for x in (s, place)])
+    first = F.array_min(F.transform(all_matches(blank(raw), R.STATE), lambda hit: F.try_element_at(rank, F.lower(hit))))
+    return F.upper(F.coalesce(F.get(F.array(*map(F.lit, R.STATES)), first), F.lit("")))
 
 
 def city_text(raw: Column) -> Column:
