@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,25 @@ def numbers(raw: Column) -> Column:
     return all_matches(blank(raw), R.NUMBER)
 
 
+def parse_list(c: Column) -> Column:
+    """A list written as text, such as ['a', 'b']: brackets and quotes go, what is between commas is stripped. An empty
+    list gives one empty element."""
+    inner = F.regexp_replace(F.regexp_replace(strip(c), r"^[\[\]]+|[\[\]]+$", ""), "['\"]", "")
+    return F.transform(F.split(inner, ","), strip)
+
+
+def char_grams(c: Column, n: int = 4) -> Column:
+    """The different runs of n characters of a text; of a shorter one the text itself, of a blank one nothing."""
+    c = blank(c)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def has_nonlatin(c: Column) -> Column:
     """1 if an Indic character occurs (other scripts don't count), else 0."""
     return blank(c).rlike(R.INDIC).cast("int")

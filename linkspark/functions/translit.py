@@ -28,6 +28,17 @@ WITH_NUKTA = {"k": "q", "kh": "K", "g": "G", "j": "z", "D": ".D", "Dh": ".Dh", "
 RUNS = re.compile("|".join(f"[{chr(0x900 + 0x80 * k)}-{chr(0x97F + 0x80 * k)}]+" for k in range(9)))
 
 
+# The scripts of the nine blocks in order.
+SCRIPTS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+
+
+def script_of(c: Column) -> Column:
+    """(script, scheme) of the first character of a text, both null if it is of none of the nine scripts."""
+    block = F.floor((F.ascii(c) - 0x900) / 0x80)
+    name = F.get(F.array(*map(F.lit, SCRIPTS)), F.when((block >= 0) & (c != ""), block).cast("int"))
+    return F.struct(name.alias("script"), F.lower(name).alias("scheme"))
+
+
 def itrans(run: str) -> str:
     """One run of one script, not folded."""
     malayalam = ord(run[0]) >= 0xD00
