@@ -50,3 +50,11 @@ def recode_countries(spark: SparkSession, paths: list[str], out: str) -> list[st
             continue
         write_text_table(df.withColumn("country", encode_country(F.col("country"))), f"{out}/{p.rstrip('/').rpartition('/')[2]}")
     return skipped
+
+
+def save_combined(records: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All records as one comma-separated table under folder; the summary and the most frequent legal suffixes."""
+    from ..operators.records import feature_summary, suffix_top
+
+    write_text_table(records, f"{folder}/all_sources_preprocessed")
+    return feature_summary(records), suffix_top(records)
