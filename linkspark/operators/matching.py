@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 FLAGS = ("postal_code", "state_code", "street_number", "unit_number", "legal_suffix", "domain_core")
 FEATURES = ("name_edit", "name_jaccard", "city_jaccard", *(f"same_{c}" for c in FLAGS))
 
@@ -31,21 +33,21 @@ def pair_features(pairs: DataFrame, s1: DataFrame, s2: DataFrame) -> DataFrame:
         jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")).alias("name_jaccard"), jaccard(F.col("a.city_tokens"), F.col("b.city_tokens")).alias("city_jaccard"), *map(same, FLAGS))
 
 
-def tfidf_cosine(pairs: DataFrame, s1: DataFrame, s2: DataFrame, buckets: int = 1 << 18) -> DataFrame:
-    """S1_id, S2_id, cosine of the TF-IDF vectors of the name tokens (document frequencies over both sides)."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    names = s1.select("entity_id", "name_tokens").union(s2.select("entity_id", "name_tokens"))
-    tf = HashingTF(inputCol="name_tokens", outputCol="tf", numFeatures=buckets).transform(names)
-    unit = Normalizer(inputCol="idf", outputCol="unit").transform(IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf))
-
-    @F.udf("double")
-    def dot(a, b):
-        return float(a.dot(b))
-
-    a = unit.select(F.col("entity_id").alias("S1_id"), F.col("unit").alias("a"))
-    b = unit.select(F.col("entity_id").alias("S2_id"), F.col("unit").alias("b"))
-    return pairs.join(a, "S1_id").join(b, "S2_id").select("S1_id", "S2_id", dot("a", "b").alias("cosine"))
+def tfidf_cosine(pairs: DataFrame, s1: DataFrame, s2: DataFrame) -> DataFrame:
+    """S1_id, S2_id, cosine of the TF-IDF vectors of the name tokens (document frequencies over both sides), with
+    idf = log((records + 1) / (records with the token + 1)). Tokens are joined as rows; 0 where none is shared."""
+    names = s1.select(F.lit(1).alias("side"), "entity_id", "name_tokens").union(s2.select(F.lit(2), "entity_id", "name_tokens"))
+    counts = names.select("side", "entity_id", F.explode("name_tokens").alias("token")).groupBy("side", "entity_id", "token").agg(F.count("*").alias("tf"))
+    total = names.count()
+    idf = counts.groupBy("token").agg(F.log(F.lit(total + 1.0) / (F.count("*") + 1)).alias("idf"))
+    weights = stored(counts.join(idf, "token").select("side", "entity_id", "token", (F.col("tf") * F.col("idf")).alias("w")), "tfidf-weights")
+    norms = weights.groupBy("side", "entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    of = lambda df, side, name: df.where(F.col("side") == side).drop("side").withColumnRenamed("entity_id", name)
+    a, b = of(weights, 1, "S1_id"), of(weights, 2, "S2_id").withColumnRenamed("w", "v")
+    dots = pairs.join(a, "S1_id").join(b, ["S2_id", "token"]).groupBy("S1_id", "S2_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    both = dots.join(of(norms, 1, "S1_id"), "S1_id").join(of(norms, 2, "S2_id").withColumnRenamed("norm", "other"), "S2_id")
+    cosine = both.select("S1_id", "S2_id", F.try_divide("dot", F.col("norm") * F.col("other")).alias("cosine"))
+    return pairs.select("S1_id", "S2_id").join(cosine, ["S1_id", "S2_id"], "left").fillna(0.0, ["cosine"])
 
 
 def train(features: DataFrame, truth: DataFrame, kind: str = "logistic"):

@@ -11,12 +11,12 @@ from ..functions import address, name
 from ..functions.address import address_features, city_text
 from ..functions.country import encode_country
 from ..functions.name import name_features
-from ..functions.text import blank, has_nonlatin, norm_text
+from ..functions.text import blank, has_nonlatin, norm_text, parse_list
 from ..functions.translit import transliterated
 
 REQUIRED = ("entity_id", "business_name", "business_address")
-NAME_ORDER = ("name_clean", "name_tokens", "name_core", "legal_suffix", "domain", "domain_core", "has_dba", "has_fka", "has_aka", "name_numbers", "is_domain_like")
-ADDRESS_ORDER = ("address_clean", "address_numbers", "street_number", "unit_number", "postal_code", "state_code", "city_tokens")
+NAME_ORDER, ADDRESS_ORDER = name.FIELDS, address.FIELDS
+LISTS = ("name_tokens", "name_numbers", "address_numbers", "city_tokens")
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,23 @@ def sample_rows(df: DataFrame, n: int, key: str = "entity_id") -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def head_rows(df: DataFrame, columns: tuple[str, ...] = ("name_clean", "legal_suffix", "domain"), n: int = 3, key: str = "entity_id") -> DataFrame:
+    """Some columns of the first n rows by key, to look at."""
+    return sample_rows(df, n, key).select(*columns)
+
+
+def parse_lists(df: DataFrame) -> DataFrame:
+    """Lists that a text format has written out, as lists again; columns that are lists stay."""
+    kinds = dict(df.dtypes)
+    named = [c for c in df.columns if c.removesuffix("_native").removesuffix("_translit") in LISTS and kinds[c] == "string"]
+    return df.select(*(parse_list(F.col(c)).alias(c) if c in named else F.col(c) for c in df.columns))
+
+
+def preprocess_all(sources: dict[str, DataFrame], config: PreprocessingConfig = PreprocessingConfig()) -> DataFrame:
+    """The plain records of all sources, with their name in `source`."""
+    return union_sources({k: record_features(df, config) for k, df in sources.items()})
+
+
 def source_stats(df: DataFrame, by: str = "source") -> DataFrame:
     """Rows, non-Latin names and addresses, and changed transliterations per source."""
     changed = lambda c: F.sum((F.col(f"{c}_translit") != blank(F.col(c))).cast("int")).cast("bigint")

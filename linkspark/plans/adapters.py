@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 FORMS = ("Inc", "LLC", "Co", "Ltd.", "Corp", "Pvt. Limited", "Clinic", "O.D.")
 REGIONS = ("CA", "NY", "TX", "KA", "IL", "WA")
 LANDS = ("India", "US", "usa", "France", "Atlantis", None)
+# Indic words and their transliterations, for records in Indic scripts.
+INDIC = ("नगर", "निगम", "राम", "श्री", "ગુજરાત", "দিল্লি", "அமுதா", "ABC नगर निगम", "नગ")
+LATIN = ("nagara", "nigama", "rama", "shri", "gujarata", "dilli", "amuta", "ABC nagara nigama", "naga")
 
 
 def _pick(values, i):
@@ -15,7 +20,7 @@ def _pick(values, i):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +47,15 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(spark, sf_dir, "S3", 2)
 
 
+def indic(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """S1 with an Indic word in every third name and every fifth address (counted from k + shift)."""
+    k = F.col("k") + shift
+    name = F.when(k % 3 == 0, F.concat(_pick(INDIC, k % len(INDIC)), F.lit(" "), _pick(FORMS, k % 8))).otherwise(F.col("business_name"))
+    parts = (k % 997 + 1, F.lit(" "), _pick(INDIC, (k + 4) % len(INDIC)), F.lit(" Road, Springfield, "), _pick(REGIONS, k % 6), F.lit(" 10101"))
+    address = F.when(k % 5 == 0, F.concat(*parts)).otherwise(F.col("business_address"))
+    return s1(spark, sf_dir).select("entity_id", name.alias("business_name"), address.alias("business_address"), "country", "k")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s2(spark, sf_dir).select(F.concat(F.lit("S1_"), "k").alias("S1_id"), F.col("entity_id").alias("S2_id"))
 
@@ -71,5 +85,18 @@ def _sql_copies(source: str, shift: int) -> str:
         {address} AS business_address, country, k FROM s1, (VALUES (0), (1), (2)) AS c(i) WHERE i < (k + {shift}) % 4)"""
 
 
+def sql_indic(name: str, shift: int) -> str:
+    """A view like indic(), with the transliterated texts beside the native ones."""
+    def said(words):
+        return (
+            f"CASE WHEN (k + {shift}) % 3 = 0 THEN ({_list(words)})[(k + {shift}) % {len(INDIC)} + 1] || ' ' || ({_list(FORMS)})[(k + {shift}) % 8 + 1] ELSE business_name END",
+            f"CASE WHEN (k + {shift}) % 5 = 0 THEN ((k + {shift}) % 997 + 1) || ' ' || ({_list(words)})[(k + {shift + 4}) % {len(INDIC)} + 1] || ' Road, Springfield, ' || ({_list(REGIONS)})[(k + {shift}) % 6 + 1] || ' 10101' ELSE business_address END")
+
+    (n, a), (tn, ta) = said(INDIC), said(LATIN)
+    return f"""{name} AS (
+    SELECT entity_id, {n} AS business_name, {a} AS business_address, country, CAST((k + {shift}) % 3 = 0 AS INT) AS name_has_nonlatin, CAST((k + {shift}) % 5 = 0 AS INT) AS address_has_nonlatin,
+        {tn} AS business_name_translit, {ta} AS business_address_translit FROM s1)"""
+
+
 SQL_S2, SQL_S3 = _sql_copies("S2", 0), _sql_copies("S3", 2)
 SQL_TRUTH = "truth AS (SELECT 'S1_' || k AS S1_id, entity_id AS S2_id FROM s2)"

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import name
+from ..functions import api, name
 from ..functions.address import address_features, city_text
 from ..functions.country import encode_country
 from ..functions.name import name_features
 from ..functions.rules import COUNTRIES, LEGAL_SUFFIXES, STATES, UNIT_LABELS
 from ..functions.text import has_nonlatin, norm_text, tokens
-from ..functions.translit import transliterated
+from ..functions.translit import script_of, transliterated
 from ..operators import blocking, matching, records
-from ..sources.writers import spill
+from ..sources import readers, writers
+from ..sources.shared import new_path, spread, stored
 from . import adapters as A
+from . import pipeline
 
 SAMPLES = ("नगर", "निगम", "राम", "श्री", "ગુજરાત", "দিল্লি", "அமுதா", "ABC नगर निगम", "नગ", "१२", "Café", "Москва")
 SPELLED = ("nagara", "nigama", "rama", "shri", "gujarata", "dilli", "amuta", "ABC nagara nigama", "naga", "12", "Café", "Москва")
 
 
 
+def _documents(spark, sf_dir):
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def _list_text(df, columns):
     return df.select(*(F.array_join(c, " ").alias(c) if c in columns else c for c in df.columns))
 
@@ -40,11 +46,11 @@ def _addresses(spark, sf_dir, fields):
 
 
 def norm_text_query(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", norm_text(F.col("text")).alias("text_norm"))
+    return _documents(spark, sf_dir).select("doc_id", norm_text(F.col("text")).alias("text_norm"))
 
 
 def name_tokens(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(norm_text(F.col("text")).alias("n"))
+    docs = _documents(spark, sf_dir).select(norm_text(F.col("text")).alias("n"))
     return docs.select(F.explode(tokens(F.col("n"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -75,7 +81,7 @@ def select_representation(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _documents(spark, sf_dir).select("doc_id", "text")
 
 
 def script_flag_documents(spark, sf_dir):
@@ -146,7 +152,9 @@ def _sides(spark, sf_dir):
 
 
 def _bench_sides(spark, sf_dir):
-    return tuple(df.select("entity_id", "country", tokens(F.col("n")).alias("name_tokens")) for df in (d.select("entity_id", "country", norm_text(F.col("business_name")).alias("n")) for d in A.bench_records(spark, sf_dir)))
+    """Tokens of both sides, stored, as they are read twice."""
+    cleaned = [d.select("entity_id", "country", norm_text(F.col("business_name")).alias("n")) for d in A.bench_records(spark, sf_dir)]
+    return tuple(stored(df.select("entity_id", "country", tokens(F.col("n")).alias("name_tokens")), "tokens") for df in cleaned)
 
 
 RULE = {r.name: r for r in blocking.RULES}
@@ -167,12 +175,19 @@ def block_rare_name_token(spark, sf_dir):
 
 
 def _block(rule):
-    return lambda spark, sf_dir: blocking.candidates(*_sides(spark, sf_dir), RULE[rule])
+    return lambda spark, sf_dir: blocking.candidates(*(stored(df, "side") for df in _sides(spark, sf_dir)), RULE[rule])
+
+
+def _block_extra(rule):
+    def query(spark, sf_dir):
+        sides = [blocking.with_grams(records.record_features(f(spark, sf_dir).drop("k"))) for f in (A.s1, A.s2)]
+        return blocking.candidates(*(stored(blocking.needed(df, blocking.EXTRA_RULES), "side") for df in sides), rule)
+
+    return query
 
 
 def block_union(spark, sf_dir):
-    sides = _sides(spark, sf_dir)
-    return blocking.union_candidates([blocking.candidates(*sides, r) for r in blocking.RULES])
+    return blocking.rule_bits(*_sides(spark, sf_dir), blocking.RULES)[0].select("S1_id", "S2_id")
 
 
 def blocking_audit(spark, sf_dir):
@@ -184,12 +199,143 @@ def true_pair_hits(spark, sf_dir):
 
 
 def parquet_roundtrip(spark, sf_dir):
-    import tempfile
+    sides = (stored(df, "side") for df in _sides(spark, sf_dir))
+    return writers.spill(blocking.candidates(*sides, RULE["street_name_token"]), new_path(spark, "candidates"))
+
+
+def _indic_union(spark, sf_dir):
+    return records.preprocess(records.union_sources({k: A.indic(spark, sf_dir, shift).drop("k") for k, shift in (("S2", 0), ("S3", 1))}))
+
+
+def indic_wide(spark, sf_dir):
+    """All 54 columns of records in Latin and Indic scripts, lists joined."""
+    wide = records.preprocess(A.indic(spark, sf_dir).drop("k"))
+    return wide.select(*(F.array_join(c, " ").alias(c) if kind.startswith("array") else F.col(c) for c, kind in wide.dtypes))
+
+
+def indic_source_stats(spark, sf_dir):
+    return records.source_stats(_indic_union(spark, sf_dir))
+
+
+def indic_stats_total(spark, sf_dir):
+    return records.stats_total(records.source_stats(_indic_union(spark, sf_dir)))
+
+
+def script_names(spark, sf_dir):
+    return A.indic(spark, sf_dir).select("entity_id", script_of(F.col("business_name")).alias("s")).select("entity_id", "s.script", "s.scheme")
+
+
+def distinct_evaluation(spark, sf_dir):
+    """Each different name and address is transliterated once."""
+    rows = A.indic(spark, sf_dir).select("entity_id", "business_name", "business_address")
+    for c in ("business_name", "business_address"):
+        rows = records.evaluate_distinct(rows, c, f"{c}_translit", transliterated)
+    return rows.select("entity_id", "business_name_translit", "business_address_translit")
+
+
+def api_name(spark, sf_dir):
+    both = A.s2(spark, sf_dir).select("entity_id", api.normalize_name(F.col("business_name")).alias("a"), api.extract_name_features(F.col("business_name")).alias("b"))
+    return _list_text(both.select("entity_id", "a.*", *(f"b.{k}" for k in ("name_tokens", "domain", "has_dba", "name_numbers"))), LISTS)
+
+
+def api_address(spark, sf_dir):
+    both = A.s3(spark, sf_dir).select("entity_id", api.normalize_address(F.col("business_address")).alias("a"), api.extract_address_features(F.col("business_address")).alias("b"))
+    return _list_text(both.select("entity_id", "a.*", F.col("b.state_code").alias("state")), LISTS)
+
+
+def plain_config(spark, sf_dir):
+    """Records without the extra column, without address components and with the address as it is."""
+    config = records.PreprocessingConfig(normalize_text=False, preserve_original=False, extract_address_components=False)
+    out = records.preprocess_all({"S1": A.s1(spark, sf_dir)}, config)
+    return out.select("source", "entity_id", "name_core", "address_clean", "street_number", F.size("city_tokens").alias("n_city"))
+
+
+def head_sample(spark, sf_dir):
+    """The operator's own limit: the first three records, three columns."""
+    return records.head_rows(records.record_features(A.s1(spark, sf_dir)))
+
+
+def truth_preview(spark, sf_dir):
+    """The operator's own limit: the first five pairs."""
+    return records.head_rows(blocking.true_pairs(A.truth(spark, sf_dir)), ("S1_id", "S2_id"), 5, "S2_id")
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="linkspark-")
-    import uuid
 
-    return spill(blocking.candidates(*_sides(spark, sf_dir), RULE["street_name_token"]), f"{base}/candidates-{uuid.uuid4().hex}")
+def _source_folder(spark, sf_dir):
+    """The three sources and the ground truth as tab-separated files."""
+    folder = new_path(spark, "sources")
+    for key, df in (("S1", A.s1(spark, sf_dir)), ("S2", A.s2(spark, sf_dir)), ("S3", A.s3(spark, sf_dir))):
+        writers.write_text_table(df.drop("k"), f"{folder}/{readers.SOURCE_FILES[key]}", "\t")
+    writers.write_text_table(A.truth(spark, sf_dir), f"{folder}/{readers.TRUTH_FILE}", "\t")
+    return folder
+
+
+def tsv_sources(spark, sf_dir):
+    """Written as tab-separated text and read back: blank values have become null."""
+    return records.union_sources(readers.read_sources(spark, _source_folder(spark, sf_dir)))
+
+
+def training_counts(spark, sf_dir):
+    got = readers.read_training_data(spark, _source_folder(spark, sf_dir))
+    return records.union_sources({k: df.agg(F.count("*").alias("n_rows"), F.countDistinct(df.columns[0]).alias("n_ids")) for k, df in got.items()})
+
+
+def csv_lists(spark, sf_dir):
+    """Plain records written as comma-separated text, lists as text, read back and parsed."""
+    path = new_path(spark, "records-csv")
+    writers.write_text_table(records.record_features(A.s2(spark, sf_dir).drop("k")), path)
+    back = records.parse_lists(readers.read_text_table(spark, path, ",", missing=False))
+    return _list_text(back.select("entity_id", "name_core", "name_tokens", "city_tokens"), LISTS)
+
+
+def recoded_files(spark, sf_dir):
+    folder = new_path(spark, "recode")
+    writers.write_text_table(A.s1(spark, sf_dir).select("entity_id", "country"), f"{folder}/a.csv")
+    writers.write_text_table(A.s1(spark, sf_dir).select("entity_id"), f"{folder}/b.csv")
+    skipped = writers.recode_countries(spark, [f"{folder}/a.csv", f"{folder}/b.csv"], f"{folder}/coded")
+    return readers.read_text_table(spark, f"{folder}/coded/a.csv", ",").withColumn("n_skipped", F.lit(len(skipped)))
+
+
+def projected_scan(spark, sf_dir):
+    path = new_path(spark, "records")
+    writers.write_records(records.union_sources({k: f(spark, sf_dir).drop("k") for k, f in (("S1", A.s1), ("S2", A.s2))}), path)
+    return readers.read_columns(spark, path, ["source", "entity_id", "country", "entity_id"])
+
+
+def _run(spark, sf_dir, **more):
+    """A whole run over files; the output folder and its tables."""
+    out = new_path(spark, "run")
+    return out, pipeline.run(spark, pipeline.RunConfig(_source_folder(spark, sf_dir), out, **more))
+
+
+def run_stats(spark, sf_dir):
+    return _run(spark, sf_dir)[1]["stats"]
+
+
+def run_audit_file(spark, sf_dir):
+    """The audit of a whole run, read from the file that it leaves."""
+    back = readers.read_text_table(spark, f"{_run(spark, sf_dir, audit=True)[0]}/blocking_audit_results", ",")
+    return back.select("RULE", F.col("CANDIDATES").cast("bigint").alias("CANDIDATES"), F.col("TRUE_PAIRS_CAUGHT").cast("bigint").alias("TRUE_PAIRS_CAUGHT"))
+
+
+def run_source_stats(spark, sf_dir):
+    return pipeline.run_source(spark, f"{_source_folder(spark, sf_dir)}/{readers.SOURCE_FILES['S2']}", "S2")[1]
+
+
+def combined_summary(spark, sf_dir):
+    return pipeline.preprocess_files(spark, _source_folder(spark, sf_dir), new_path(spark, "plain"))[0]
+
+
+def submission_files(spark, sf_dir):
+    """Matches and candidates written as submission files and read back."""
+    folder = new_path(spark, "submission")
+    pairs = stored(blocking.candidates(*(stored(df, "side") for df in _sides(spark, sf_dir)), RULE["street_name_token"]), "pairs")
+    matching.write_submission(pairs.join(A.truth(spark, sf_dir), ["S1_id", "S2_id"], "left_semi"), pairs, folder)
+    return records.union_sources({k: readers.read_text_table(spark, f"{folder}/{k}.tsv") for k in ("matching_results", "candidate_pairs")})
+
+
+def tfidf_cosine(spark, sf_dir):
+    sides = [records.record_features(f(spark, sf_dir).drop("k")).select("entity_id", "name_tokens") for f in (A.s1, A.s2)]
+    return matching.tfidf_cosine(A.truth(spark, sf_dir), *sides).withColumn("cosine", F.round("cosine", 6))
 
 
 def pair_features(spark, sf_dir):
@@ -237,6 +383,28 @@ QUERIES = {
     "true_pair_hits": true_pair_hits,
     "parquet_roundtrip": parquet_roundtrip,
     "pair_features": pair_features,
+    "indic_wide": indic_wide,
+    "indic_source_stats": indic_source_stats,
+    "indic_stats_total": indic_stats_total,
+    "script_names": script_names,
+    "distinct_evaluation": distinct_evaluation,
+    "api_name": api_name,
+    "api_address": api_address,
+    "plain_config": plain_config,
+    "head_sample": head_sample,
+    "truth_preview": truth_preview,
+    "tsv_sources": tsv_sources,
+    "training_counts": training_counts,
+    "csv_lists": csv_lists,
+    "recoded_files": recoded_files,
+    "projected_scan": projected_scan,
+    "run_stats": run_stats,
+    "run_audit_file": run_audit_file,
+    "run_source_stats": run_source_stats,
+    "combined_summary": combined_summary,
+    "submission_files": submission_files,
+    "tfidf_cosine": tfidf_cosine,
+    **{f"block_{r.name}": _block_extra(r) for r in blocking.EXTRA_RULES},
 }
 
 # SQL can't express the transliteration of any text; tests compare these with brute force on a table of their own.
@@ -371,4 +539,73 @@ SELECT S1_id, S2_id, round(CASE WHEN greatest(len(x), len(y)) = 0 THEN 1.0 ELSE
     CAST(pa = pb AND pa <> '' AS DOUBLE) AS same_postal_code, CAST(na = nb AND na <> '' AS DOUBLE) AS same_street_number, CAST(la = lb AND la <> '' AS DOUBLE) AS same_legal_suffix FROM p""",
 }
 
+# Records with Indic words, the files and runs, and the further rules.
+STATS = "source, count(*) AS n_rows, CAST({n} AS BIGINT) AS nonlatin_names, CAST({a} AS BIGINT) AS nonlatin_addresses, CAST({tn} AS BIGINT) AS names_transliterated, CAST({ta} AS BIGINT) AS addresses_transliterated"
+COUNTED = STATS.format(n="sum(name_has_nonlatin)", a="sum(address_has_nonlatin)", tn="count(*) FILTER (business_name_translit <> business_name)", ta="count(*) FILTER (business_address_translit <> business_address)")
+NO_INDIC = STATS.format(n="0", a="0", tn="0", ta="0")
+INDIC = f"WITH {A.SQL_S1}, {A.sql_indic('i2', 0)}, {A.sql_indic('i3', 1)}, iu AS (SELECT 'S2' AS source, * FROM i2 UNION ALL SELECT 'S3', * FROM i3)"
+NAMED = "name_clean name_tokens name_core legal_suffix domain domain_core name_numbers".split()
+PLACED = "address_clean address_numbers street_number unit_number postal_code state_code city_tokens".split()
+FLAGGED = "has_dba has_fka has_aka is_domain_like".split()
+SCRIPT_OF = " ".join(f"WHEN unicode(business_name) BETWEEN {0x900 + 0x80 * k} AND {0x97F + 0x80 * k} THEN '{x}'" for k, x in enumerate("DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM".split()))
+
+
+def _indic_wide() -> str:
+    """Features of the native texts and of the selected ones, which are the transliterated ones throughout, as these are
+    the texts themselves where nothing is Indic."""
+    used = lambda k: "name_has_nonlatin" if k in NAMED else "address_has_nonlatin"
+    none = lambda k: "NULL" if k in ("name_tokens", "name_numbers") else "''"
+    main = ", ".join(f"s.{k}" for k in (*NAMED, *FLAGGED)) + ", " + ", ".join(f"t.{k}" for k in PLACED)
+    native = ", ".join(f"n.{k} AS {k}_native" for k in NAMED) + ", " + ", ".join(f"m.{k} AS {k}_native" for k in PLACED)
+    translit = ", ".join(f"CASE WHEN {used(k)} = 1 THEN {'s' if k in NAMED else 't'}.{k} ELSE {none(k)} END AS {k}_translit" for k in (*NAMED, *PLACED))
+    named = lambda rows: f"(SELECT * EXCLUDE (c), c AS name_clean FROM ({name_sql(rows)}))"
+    return f"""{INDIC}, said AS (SELECT entity_id, business_name_translit AS business_name, business_address_translit AS business_address FROM i2),
+own AS (SELECT entity_id, business_name, business_address FROM i2)
+SELECT i2.entity_id, i2.business_name, i2.business_address, {CODED.replace('country', 'i2.country')} AS country, name_has_nonlatin, address_has_nonlatin,
+    business_name_translit, business_address_translit, {main}, {native}, {translit}
+FROM i2 JOIN {named('said')} s USING (entity_id) JOIN ({address_sql('said')}) t USING (entity_id) JOIN {named('own')} n USING (entity_id) JOIN ({address_sql('own')}) m USING (entity_id)"""
+
+
+# Blank texts come back from a file as nulls.
+FILES = f"{ALL}, u AS (SELECT 'S1' AS source, * FROM s1 UNION ALL SELECT 'S2', * FROM s2 UNION ALL SELECT 'S3', * FROM s3)"
+E_CITY = "SELECT entity_id, unnest(string_split(city_tokens, ' ')) AS t, nullif(postal_code, '') AS p FROM ({a}) WHERE city_tokens <> ''"
+E_GRAM = "SELECT entity_id, unnest(list_distinct(list_transform(generate_series(1, greatest(len(name_core) - 3, 1)), lambda i: substr(name_core, i, 4)))) AS t FROM ({n}) WHERE name_core <> ''"
+CITY = f"{ALL}, e1 AS ({E_CITY.format(a=address_sql('s1'))}), e2 AS ({E_CITY.format(a=address_sql('s2'))})"
+GRAM = f"{ALL}, e1 AS ({E_GRAM.format(n=name_sql('s1'))}), e2 AS ({E_GRAM.format(n=name_sql('s2'))})"
+
+SQL |= {
+    "indic_wide": _indic_wide(),
+    "indic_source_stats": f"{INDIC} SELECT {COUNTED} FROM iu GROUP BY source",
+    "indic_stats_total": f"{INDIC} SELECT {COUNTED.removeprefix('source, ')} FROM iu",
+    "script_names": f"{INDIC} SELECT entity_id, CASE {SCRIPT_OF} END AS script, lower(CASE {SCRIPT_OF} END) AS scheme FROM i2",
+    "distinct_evaluation": f"{INDIC} SELECT entity_id, business_name_translit, business_address_translit FROM i2",
+    "api_name": _name_query("c AS name_clean, legal_suffix, name_core, name_tokens, domain, has_dba, name_numbers"),
+    "api_address": f"{ALL}, f AS ({address_sql('s3')}) SELECT entity_id, address_numbers, street_number, unit_number, postal_code, state_code, city_tokens, address_clean, state_code AS state FROM f",
+    "plain_config": f"{ALL}, f AS ({name_sql('s1')}) SELECT 'S1' AS source, entity_id, name_core, business_address AS address_clean, '' AS street_number, 0 AS n_city FROM f",
+    "head_sample": f"{ALL}, f AS ({name_sql('s1')}) SELECT c AS name_clean, legal_suffix, domain FROM f ORDER BY entity_id LIMIT 3",
+    "truth_preview": f"{ALL} SELECT DISTINCT S1_id, S2_id FROM truth ORDER BY S2_id LIMIT 5",
+    "tsv_sources": f"{FILES} SELECT source, entity_id, business_name, nullif(business_address, '') AS business_address, country FROM u",
+    "training_counts": f"{FILES} SELECT source, count(*) AS n_rows, count(DISTINCT entity_id) AS n_ids FROM u GROUP BY source UNION ALL SELECT 'ground_truth', count(*), count(DISTINCT S1_id) FROM truth",
+    "csv_lists": f"{ALL}, n AS ({name_sql('s2')}), a AS ({address_sql('s2')}) SELECT entity_id, name_core, name_tokens, a.city_tokens FROM n JOIN a USING (entity_id)",
+    "recoded_files": f"{ALL} SELECT entity_id, {CODED} AS country, 1 AS n_skipped FROM s1",
+    "projected_scan": f"{ALL} SELECT 'S1' AS source, entity_id, country FROM s1 UNION ALL SELECT 'S2', entity_id, country FROM s2",
+    "run_stats": f"{FILES} SELECT {NO_INDIC} FROM u GROUP BY source",
+    "run_source_stats": f"{FILES} SELECT {NO_INDIC} FROM u WHERE source = 'S2' GROUP BY source",
+    "combined_summary": SQL["feature_summary"],
+    "submission_files": f"{SIDES}, p AS ({PAIRS['street_name_token']}) SELECT 'candidate_pairs' AS source, * FROM p UNION ALL SELECT 'matching_results', p.* FROM p JOIN truth USING (S1_id, S2_id)",
+    "block_address_token": f"{CITY} {_pairs('e1', 'e2', 't')}",
+    "block_postal_city": f"{CITY} {_pairs('e1', 'e2', 'p, t')}",
+    "block_name_gram": f"{GRAM} {_pairs('e1', 'e2', 't')}",
+    "tfidf_cosine": f"""{ALL}, n AS (SELECT 1 AS side, * FROM ({name_sql('s1')}) UNION ALL SELECT 2, * FROM ({name_sql('s2')})),
+c AS (SELECT side, entity_id, t, count(*) AS tf FROM (SELECT side, entity_id, unnest(string_split(name_tokens, ' ')) AS t FROM n WHERE name_tokens <> '') GROUP BY ALL),
+i AS (SELECT t, ln(((SELECT count(*) FROM n) + 1.0)::DOUBLE / (count(*) + 1)) AS idf FROM c GROUP BY t),
+w AS (SELECT side, entity_id, t, tf * idf AS w FROM c JOIN i USING (t)),
+z AS (SELECT side, entity_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+d AS (SELECT S1_id, S2_id, sum(a.w * b.w) AS dot FROM truth JOIN w a ON a.side = 1 AND a.entity_id = S1_id JOIN w b ON b.side = 2 AND b.entity_id = S2_id AND b.t = a.t GROUP BY ALL)
+SELECT S1_id, S2_id, round(coalesce(dot / (x.norm * y.norm), 0.0), 6) AS cosine FROM truth LEFT JOIN d USING (S1_id, S2_id)
+LEFT JOIN z x ON x.side = 1 AND x.entity_id = S1_id LEFT JOIN z y ON y.side = 2 AND y.entity_id = S2_id""",
+}
+CODED_SIDES = SQL["blocking_audit"].replace("SELECT entity_id, country, street", f"SELECT entity_id, {CODED} AS country, street")
+SQL["run_audit_file"] = f"SELECT RULE, CANDIDATES, TRUE_PAIRS_CAUGHT FROM ({CODED_SIDES})"
+
 assert set(SQL) == set(QUERIES)

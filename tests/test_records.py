@@ -114,3 +114,34 @@ def test_wide_record(spark):
 def test_distinct_evaluation(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "v string")
     assert sorted(records.evaluate_distinct(df, "v", "u", F.upper).select("u").toPandas()["u"].fillna("-")) == ["-", "A", "A"]
+
+
+def test_lists_as_text(spark):
+    from linkspark.functions.text import char_grams, parse_list
+
+    df = spark.createDataFrame([("['shree', 'infra con']",), ("[]",), (' [ "a" ] ',), (None,), ("x",)], "t string")
+    assert [r[0] for r in df.select(parse_list(F.col("t"))).collect()] == [["shree", "infra con"], [""], ["a"], None, ["x"]]
+    grams = spark.createDataFrame([("abcab",), ("ab",), ("",), (None,)], "t string").select(char_grams(F.col("t"), 2))
+    assert [r[0] for r in grams.collect()] == [["ab", "bc", "ca"], ["ab"], [], []]
+    parsed = records.parse_lists(spark.createDataFrame([("1", "['a']", "['a']")], "entity_id string, name_tokens string, note string")).first()
+    assert (parsed["name_tokens"], parsed["note"]) == (["a"], "['a']")
+
+
+@pytest.mark.parametrize("text, script", [("नगर", "DEVANAGARI"), ("ൻ", "MALAYALAM"), ("ক", "BENGALI"), ("a", None), ("Ж", None), ("", None), (None, None), ("඀", None)])
+def test_script_of(spark, text, script):
+    from linkspark.functions.translit import script_of
+
+    got = spark.createDataFrame([(text,)], "t string").select(script_of(F.col("t")).alias("s")).first()["s"]
+    assert (got["script"], got["scheme"]) == (script, script and script.lower())
+
+
+def test_features_as_structs(spark):
+    """Each struct has the values of the record's own columns."""
+    from linkspark.functions import api
+
+    rows = [(str(i), n[0], a[0]) for i, (n, a) in enumerate(zip(NAMES * 2, ADDRESSES, strict=False))]
+    df = record_features(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string"))
+    for f, c in ((api.normalize_name, "business_name"), (api.extract_name_features, "business_name"), (api.normalize_address, "business_address"), (api.extract_address_features, "business_address")):
+        for r in df.select("*", f(F.col(c)).alias("got")).collect():
+            assert r["got"].asDict() == {k: r[k] for k in r["got"].asDict()}
+    assert len(api.NORMALIZED_NAME) == 3 and len(api.COMPONENTS) == 6
