@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT = 1000  # a key of more than one in so many rows is hot, so there are fewer hot keys than that
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row per key (nulls are a key too) that has the number n of rows with it,
+    `total` in all. Hot keys, fewer than HOT, are broadcast, so that their rows stay where they are; the others are shuffled.
+    Both are read twice, so they should be stored. n goes."""
+    hot = F.col(n) * HOT >= F.lit(total)
+    names = [f"_key{k}" for k in range(len(keys))]
+    told = table.select(*(F.col(k).alias(x) for k, x in zip(keys, names, strict=True)), *(c for c in table.columns if c not in keys))
+    same = lambda: reduce(lambda a, b: a & b, (rows[k].eqNullSafe(F.col(x)) for k, x in zip(keys, names, strict=True)))
+    few, many = told.where(hot).drop(n), told.where(~hot).drop(n)
+    one = rows.join(F.broadcast(few), same()).drop(*names)
+    two = rows.join(F.broadcast(few.select(*names)), same(), "left_anti").join(many, same()).drop(*names)
+    return one.unionByName(two)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
