@@ -1,4 +1,10 @@
-"""SimHash fingerprints and near-duplicate groups by deletion-variant signatures."""
+"""SimHash fingerprints and near-duplicate groups by deletion-variant signatures.
+
+Words are runs without ASCII white space, A-Z lower-cased. Null and blank texts have fingerprint 0 and are linked like any
+other; texts of fewer words than a shingle are one shingle. Rows with equal fingerprints form a class, and only classes
+are linked, so copies and repeated rows cost one row each. Rows without doc_id are grouped but never name a group.
+Empty tables give empty results. Only the text and the key are read; other columns may have any name.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, store
+from .common import discard, fresh, slices, store
 
 SHINGLE, SEED = 4, 42
+SHORT_KEYS = 1 << 24  # fingerprints; past this a key of some 20 bits is shared by many that are unlike
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -45,19 +52,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
+def cut(bits: list[int], parts: int) -> list[int]:
+    """Masks of runs of near equal length of the bits."""
+    edges = [round(len(bits) * k / parts) for k in range(parts + 1)]
+    return [signed(sum(1 << b for b in bits[x:y])) for x, y in zip(edges, edges[1:])]
+
+
+def links(prints: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """Pairs a < b of different values of prints.fp at `distance` or fewer differing bits, each once.
 
     Every fingerprint is indexed under 64 keys: a segment with one of its bits struck out. Two fingerprints whose
     segment differs in one bit meet under that bit; if the segment is equal, they meet under all of its bits. The pair
     is taken from one such key only: of the first segment that differs in one bit at most, its differing or lowest bit.
-    """
+
+    With `blocks` = distance + 1 the bits outside the segment are cut into so many blocks, one of which is equal too, and
+    each key is joined by one of them: `blocks` keys for one, of some nine more bits, and the pair is taken from its first
+    equal block. Pairs are the same; fewer unlike ones meet. By default the fingerprints are counted, and the longer keys
+    are taken where the others would be shared by too many."""
+    if blocks is None:
+        blocks = 1 if prints.count() <= SHORT_KEYS else distance + 1
     segs = segments(distance)
     masks = [sum(1 << (a + i) for i in range(w)) for a, w in segs]
     of_bit = [next(k for k, (a, w) in enumerate(segs) if a <= bit < a + w) for bit in range(64)]
-    kept = F.array(*[F.lit(signed(masks[of_bit[b]] & ~(1 << b))) for b in range(64)])
-    keys = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        "fp", "bit", F.col("fp").bitwiseAND(kept[F.col("bit")]).alias("key"))
+    rest = [cut([b for b in range(64) if not m >> b & 1], blocks) if blocks > 1 else [0] for m in masks]
+    kept = F.array(*[F.lit(signed(masks[of_bit[b]] & ~(1 << b)) | rest[of_bit[b]][k]) for b in range(64) for k in range(blocks)])
+    keys = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64 * blocks - 1))).alias("slot")).select(
+        "fp", "slot", F.col("fp").bitwiseAND(kept[F.col("slot")]).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     parts = [diff.bitwiseAND(F.lit(signed(m))) for m in masks]
@@ -65,19 +85,23 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     for part, (low, _) in reversed(list(zip(parts, segs, strict=True))):
         n = F.bit_count(part)
         first = F.when(n == 0, F.lit(signed(1 << low))).when(n == 1, part).otherwise(first)
-    bits = F.array(*[F.lit(signed(1 << i)) for i in range(64)])
-    on = (F.col("a.bit") == F.col("b.bit")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) \
-        & (F.bit_count(diff) <= distance) & (first == bits[F.col("a.bit")])
+    slot = F.col("a.slot")
+    bits = F.array(*[F.lit(signed(1 << i)) for i in range(64) for _ in range(blocks)])
+    on = (slot == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(diff) <= distance) & (first == bits[slot])
+    for k in range(blocks - 1):  # no earlier block may be equal
+        earlier = F.array(*[F.lit(rest[of_bit[b]][k]) for b in range(64) for _ in range(blocks)])
+        on &= (slot % blocks <= k) | (diff.bitwiseAND(earlier[slot]) != 0)
     return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node each node of the edges (a, b) reaches, by alternating large and small stars.
 
-    Each round is a table in the shared folder; hubs meet only in partial minima and joins that can be split."""
-    def least(pairs: DataFrame) -> DataFrame:
+    Each round is a table in the shared folder, deleted when the next is there; hubs meet only in partial minima and
+    joins that can be split."""
+    def least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         lows = store(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "simhash-min")
-        return pairs.join(lows, "u")
+        return pairs.join(lows, "u"), lows
 
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
@@ -86,11 +110,13 @@ def components(edges: DataFrame) -> DataFrame:
     before, after = None, mark(now)
     while after[0] and before != after:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
-        large = store(least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "simhash-large")
+        stars, lows = least(both)
+        large = store(stars.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "simhash-large")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        stars = least(down)
+        stars, lower = least(down)
         small = stars.select(F.col("m").alias("a"), F.col("v").alias("b")).union(stars.select(F.col("m"), F.col("u")))
-        now = store(small.where("a != b").distinct(), "simhash-small")
+        last, now = now, store(small.where("a != b").distinct(), "simhash-small")
+        discard(last, lows, large, lower)
         before, after = after, mark(now)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
@@ -126,7 +152,9 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", distanc
     """docs with one document of each group, the one of least doc_id; rows without doc_id all stay. Of rows that repeat
     a kept doc_id one stays. The columns are those of docs."""
     found = store(groups(docs, text, key, distance), "simhash-groups")
-    out = docs.join(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), F.col(key) == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, "_gone")
+    others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct()
+    out = docs.join(others, docs[key] == F.col(gone), "left_anti")
     if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
     known = out.where(F.col(key).isNotNull()).dropDuplicates([key])
