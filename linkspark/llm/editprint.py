@@ -7,23 +7,29 @@ characters, each a new walk. The fingerprint samples SAMPLES steps from each of
 end). Likeness is the share of sampled steps that agree, each range weighted by its length.
 
 Null counts as empty; an empty text has an empty fingerprint, and two empty ones have likeness 1. Characters are code
-points, whole texts of any length are used. Repeated rows follow each other in the order of documents.
+points, whole texts of any length are used. The order of documents is that of doc_id in its own type (any that Spark
+sorts; null is the least), then of a hash of the text; repeated rows follow each other. An empty table gives an empty
+result, a single row is its own next. Only the text and the key are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import shuffle_partitions, slices, store
 
 RUN, PHASES, FIRST, SAMPLES = 16384, 256, 128, 64
-SPAN = 2 * RUN  # steps counted of each run; a walk takes two steps a character on average
+SPAN = 2 * RUN + 2048  # steps counted of each run: a walk takes two a character on average, and 181 more or fewer by standard deviation
+PROBES = 16  # rows looked at to set the bounds of a range of documents
+BANDED, CROWD, LEADERS = 3, 64, 8  # ranges that are cut into bands; members of a band beyond which they meet its leaders only
 BLOCK = 3_000_000  # characters walked at once
 LOWEST = -(1 << 63)
 
@@ -54,7 +60,12 @@ def sampled(ranges: int) -> np.ndarray:
 
 
 def n_ranges(chars: int) -> int:
-    return 0 if not chars else 1 + max(0, (2 * chars - 1).bit_length() - FIRST.bit_length() + 1)
+    """Ranges up to the steps that nearly all walks over so many characters end by."""
+    if not chars:
+        return 0
+    last = 2 * (chars % RUN)
+    steps = chars // RUN * SPAN + min(SPAN, last + 3 * isqrt(last))
+    return 1 + max(0, (steps - 1).bit_length() - FIRST.bit_length() + 1)
 
 
 HEX = np.frombuffer(b"0123456789abcdef.", np.uint8)
@@ -124,35 +135,63 @@ def likeness(a: str, b: str) -> float:
     return float((((x == y) & ~past).sum(axis=1) * weight).sum() / counted) if counted else 1.0
 
 
+def place(doc_id, tie: int) -> tuple:
+    """Sorts like doc_id and tie do, null first."""
+    return doc_id is not None, doc_id, tie
+
+
+def bounds(rows: DataFrame, n: int) -> list[tuple]:
+    """Places that cut rows (doc_id, tie) into up to n ranges of about as many rows each. They come from a sample of about
+    PROBES rows a range, of ids only unless one id fills whole ranges; all rows are dealt by them."""
+    ids = rows.select("doc_id")
+    share = min(1.0, PROBES * n / max(1, ids.count()))
+    probe = lambda df: df if share == 1 else df.sample(share, seed=5)
+    seen = sorted(place(r[0], LOWEST) for r in probe(ids).collect())
+    picked = [seen[len(seen) * k // n] for k in range(1, n)] if seen else []
+    cuts = set(picked)
+    if hot := {p[1] for p in cuts if picked.count(p) > 1}:
+        known = [i for i in hot if i is not None]
+        own = F.col("doc_id").isin(known) if known else F.lit(False)
+        ties: dict = {}
+        for r in probe(rows.where(own | F.col("doc_id").isNull() if None in hot else own).select("doc_id", "tie")).collect():
+            ties.setdefault(r["doc_id"], []).append(r["tie"])
+        for i, of in ties.items():
+            of.sort()
+            m = picked.count(place(i, LOWEST))
+            cuts |= {place(i, of[len(of) * k // (m + 1)]) for k in range(1, m + 1)}
+    return sorted(cuts)
+
+
 def in_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of docs (doc_id, text, to, extra) dealt so that within a value of `to`, sorted by extra, then downwards by
     doc_id, each row but the extra one is followed by the next document; after the least doc_id comes the greatest.
 
-    Only ids are looked at to set the bounds; the first row of each range is dealt to the range above it as well."""
+    The first row of each range is dealt to the range above it as well."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("place", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)))
-    n = 8 * shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    bounds = np.array(sorted(set(cuts)), np.int64)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    id_type = rows.schema["doc_id"].dataType
+    cuts = bounds(rows.select("doc_id", "tie"), 8 * shuffle_partitions(spark))
 
-    @F.pandas_udf(IntegerType())
-    def range_of(place):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, place.to_numpy()).astype(np.int32))
+    @F.arrow_udf(IntegerType())
+    def range_of(doc_id: pa.Array, tie: pa.Array) -> pa.Array:
+        return pa.array([bisect_left(cuts, place(i, t)) for i, t in zip(doc_id.to_pylist(), tie.to_pylist(), strict=True)], pa.int32())
 
     def ranged(df):
-        return df.withColumn("of", range_of("place"))
+        return df.withColumn("of", range_of("doc_id", "tie"))
 
-    heads = ranged(rows.select("place")).groupBy("of").agg(F.max("place").alias("head")).collect()  # a row per range
+    most = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("head")
+    heads = ranged(rows.select("doc_id", "tie")).groupBy("of").agg(most).select("of", "head.doc_id", "head.tie").collect()  # a row per range
     heads.sort(key=lambda r: r["of"])
-    above = [(r["of"], r["head"], heads[(i + 1) % len(heads)]["of"]) for i, r in enumerate(heads)]
-    above = spark.createDataFrame(above, "of int, place bigint, up int")
-    own = ranged(rows).join(F.broadcast(above), ["of", "place"], "left")
-    dealt = F.explode(F.when(F.col("up").isNull(), F.array(F.struct(F.col("of").alias("to"), F.lit(False).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("of").alias("to"), F.lit(False).alias("extra")), F.struct(F.col("up").alias("to"), F.lit(True).alias("extra")))))
-    both = own.select("doc_id", "text", "place", F.xxhash64("text").alias("tie"), dealt.alias("d")).select("doc_id", "text", "place", "tie", "d.to", "d.extra")
-    return both.repartition(shuffle_partitions(spark), "to").sortWithinPartitions("to", "extra", F.col("place").desc(), F.col("tie").desc())
+    above = [(r["of"], r["doc_id"], r["tie"], heads[(i + 1) % len(heads)]["of"], True) for i, r in enumerate(heads)]
+    fields = (("h_of", IntegerType()), ("h_id", id_type), ("h_tie", LongType()), ("up", IntegerType()), ("is_head", BooleanType()))
+    above = spark.createDataFrame(above, StructType([StructField(*f) for f in fields]))
+    same = (F.col("of") == F.col("h_of")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))
+    own = ranged(rows).join(F.broadcast(above), same, "left")
+    once = F.struct(F.col("of").alias("to"), F.lit(False).alias("extra"))
+    again = F.struct(F.col("up").alias("to"), F.lit(True).alias("extra"))
+    dealt = own.select("doc_id", "text", "tie", F.explode(F.when(F.col("is_head"), F.array(once, again)).otherwise(F.array(once))).alias("d"))
+    both = dealt.select("doc_id", "text", "tie", "d.to", "d.extra").repartition(shuffle_partitions(spark), "to")
+    return both.sortWithinPartitions("to", "extra", F.col("doc_id").desc(), F.col("tie").desc())
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -190,14 +229,23 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 def near_pairs(rows: DataFrame, threshold: float = 0.8, digits: int = 8) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of rows (doc_id, fingerprint): pairs a < b of different fingerprints of likeness >= threshold
-    that agree in a band of `digits` sampled steps of one of their two last ranges, and members (doc_id, fingerprint).
-    Equal fingerprints are one class; bands wholly past the end of a text are left out."""
+    that agree in a band of `digits` sampled steps of one of their BANDED last ranges, and members (doc_id, fingerprint).
+    Equal fingerprints are one class; bands wholly past the end of a text are left out.
+
+    Of a band with more than CROWD classes not all pairs are looked at: its members meet LEADERS of them, least by as many
+    hashes, so a group of many near copies comes as links to its leaders instead of links between all."""
     classes = store(rows.select("fingerprint").where("fingerprint != ''").distinct(), "print-classes")
     n = F.length("fingerprint")
-    at = F.explode(F.sequence(F.greatest(n - 2 * SAMPLES, F.lit(0)), n - digits, F.lit(digits)))
-    bands = classes.select("fingerprint", at.alias("at")).select("fingerprint", "at", F.substr("fingerprint", F.col("at") + 1, F.lit(digits)).alias("band")).where(F.col("band") != "." * digits)
-    a, b = bands.alias("a"), bands.alias("b")
+    at = F.explode(F.sequence(F.greatest(n - BANDED * SAMPLES, F.lit(0)), n - digits, F.lit(digits)))
+    bands = classes.select("fingerprint", at.alias("at")).select("fingerprint", "at", F.substr("fingerprint", F.col("at") + 1, F.lit(digits)).alias("band"))
+    bands = store(bands.where(F.col("band") != "." * digits), "print-bands")
+    leaders = [F.min_by("fingerprint", F.xxhash64(F.lit(k), "fingerprint")) for k in range(LEADERS)]
+    sizes = store(bands.groupBy("at", "band").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).where("n > 1"), "print-sizes")
+    few, many = sizes.where(f"n <= {CROWD}").select("at", "band"), sizes.where(f"n > {CROWD}")
+    some = bands.join(few, ["at", "band"], "left_semi")
+    a, b = some.alias("a"), some.alias("b")
     met = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
+    led = bands.join(many, ["at", "band"]).select("fingerprint", F.explode("leaders").alias("leader")).where("fingerprint != leader")
 
     @F.pandas_udf(DoubleType())
     def like(x, y):
@@ -205,5 +253,7 @@ def near_pairs(rows: DataFrame, threshold: float = 0.8, digits: int = 8) -> tupl
 
         return pd.Series([likeness(p, q) for p, q in zip(x, y, strict=True)])
 
-    pairs = met.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b")).distinct().withColumn("likeness", like("a", "b")).where(F.col("likeness") >= threshold)
+    found = met.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b")) \
+        .union(led.select(F.least("fingerprint", "leader"), F.greatest("fingerprint", "leader"))).distinct()
+    pairs = found.withColumn("likeness", like("a", "b")).where(F.col("likeness") >= threshold)
     return pairs, rows.select("doc_id", "fingerprint")
