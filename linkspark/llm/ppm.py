@@ -8,8 +8,11 @@ symbols seen after the longer one are excluded; the last resort is uniform. Ever
 The trie is a table of paths (context and symbol) with counts, dealt into parts by the last three symbols of the context,
 so a part has all longer contexts of its own; contexts of up to two symbols are bounded and broadcast. Texts are taken in
 lots; each lot asks the parts for the costs of its different paths and is summed when they are back. Words go the same way.
+Parts that are asked far more than others (frequent contexts) are summed up by each task first and then by part, and the
+lots that ask are dealt over several tasks with a copy of that sum each.
 
 Null texts are empty: only the end is scored. Without training texts all symbols are alike. Repeated rows score alike.
+Empty tables give empty results. Only doc_id and text are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, shuffle_partitions, slices, store, text_blocks
@@ -26,6 +29,8 @@ from .common import bucket_of, shuffle_partitions, slices, store, text_blocks
 CONTEXT, BITS = 5, 9
 CLASSES, ORDER = 56, 3  # of the dense table, which the tests compare with
 LOT, BLOCK = 8_000_000, 1_000_000  # bytes of text asked for at once, and worked on at once
+HEAVY, TIMES = 64_000_000, 8  # a part asked in more packed bytes than this, and more than so many times the average, is split
+PENDING = 4_000_000  # keys summed up at once
 DOCS, PATHS, TOKENS = 0, 1, 2  # kinds of rows
 END = 4611686018427387903  # stands for the end token among the hashes of words
 
@@ -233,10 +238,28 @@ def groups(batches, columns: tuple[int, ...]):
         yield held
 
 
-def decoded(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys of each row, and the different keys of all with the sums of their counts."""
-    keys = [np.cumsum(unpacked(r[3], np.int64)) for r in rows]
-    return keys, *summed(np.concatenate(keys), np.concatenate([unpacked(r[4], np.int32) for r in rows]).astype(np.int64))
+def keys_of(row: tuple) -> np.ndarray:
+    return np.cumsum(unpacked(row[3], np.int64))
+
+
+class Sums:
+    """Different keys and the sums of their counts, of packed rows that come one by one."""
+
+    def __init__(self, counts=np.int32):
+        self.keys, self.n, self.pending, self.size, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, counts
+
+    def add(self, row: tuple) -> None:
+        self.pending.append((keys_of(row), unpacked(row[4], self.counts).astype(np.int64)))
+        self.size += len(self.pending[-1][0])
+        if self.size > PENDING:
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.pending:
+            keys, n = zip(*self.pending, strict=True)
+            self.keys, self.n = summed(np.concatenate([self.keys, *keys]), np.concatenate([self.n, *n]))
+            self.pending, self.size = [], 0
+        return self.keys, self.n
 
 
 def shortest(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -253,24 +276,105 @@ def shortest(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["path"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def answered(rows: DataFrame) -> DataFrame:
-    """For each row of keys: costs of paths (float) or training counts of tokens (long); n and v: training tokens and different ones of the part."""
+MODEL = "owner bigint, kind int, part int, a binary, b binary, n bigint, v bigint"
+
+
+def told_by(kind: int, every: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What a part says of each of its keys: the cost of a path, the training count of a token."""
+    return costs(every, every[n > 0], n[n > 0], *short).astype(np.float32) if kind == PATHS else n
+
+
+def totals_of(kind: int, n: np.ndarray) -> tuple[int, int]:
+    return (int(n.sum()), int((n > 0).sum())) if kind == TOKENS else (0, 0)
+
+
+def heavy_parts(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """(kind, part, tasks to deal it over) of the parts that are asked far more than others: fewer than 2 parts / TIMES."""
+    size = rows.groupBy("kind", "part").agg(F.sum(F.octet_length("a") + F.octet_length("b")).alias("size"))
+    average = F.sum("size").over(Window.partitionBy("kind")) / parts  # a row per part
+    most = size.withColumn("most", F.greatest(F.lit(HEAVY), average * TIMES)).where("size > most")
+    return [(r["kind"], r["part"], -(-r["size"] // int(r["most"]))) for r in most.collect()]
+
+
+def heavy_sums(rows: DataFrame) -> DataFrame:
+    """One row of all keys and sums of each part of rows, summed by task before they are shuffled."""
+    def partial(batches):
+        held: dict[tuple[int, int], Sums] = {}
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(row[1:3], Sums()).add(row)
+        for (kind, part), of in held.items():
+            keys, n = of.done()
+            yield batch([(0, kind, part, packed(np.diff(keys, prepend=0)), packed(n))])
+
+    def whole(batches):
+        now, of = None, None
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[1:3] != now:
+                    if now:
+                        yield model(now, of)
+                    now, of = row[1:3], Sums(np.int64)
+                of.add(row)
+        if now:
+            yield model(now, of)
+
+    def model(now, of):
+        keys, n = of.done()
+        return batch([(-1, *now, packed(np.diff(keys, prepend=0)), packed(n), *totals_of(now[0], n))])
+
+    dealt = rows.mapInArrow(partial, ROW).repartition(shuffle_partitions(rows.sparkSession), "kind", "part").sortWithinPartitions("kind", "part")
+    return store(dealt.mapInArrow(whole, MODEL), "ppm-heavy")
+
+
+def answered(rows: DataFrame, parts: int) -> tuple[DataFrame, int, int]:
+    """For each row of keys the costs of paths (float) or training counts of tokens (long); training tokens and different ones."""
     spark = rows.sparkSession
+    n_tasks = shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(shortest(rows))
+    rows = rows.where(F.col("kind") != DOCS)
 
-    def run(batches):
-        for held in groups(batches, (1, 2)):
-            keys, every, n = decoded(held)
-            if held[0][1] == PATHS:
-                said = costs(every, every[n > 0], n[n > 0], *shared.value).astype(np.float32)
-                total = v = 0
-            else:
-                said, total, v = n, int(n.sum()), int((n > 0).sum())
-            for i, (r, k) in enumerate(zip(held, keys, strict=True)):
-                yield batch([(*r[:3], packed(said[np.searchsorted(every, k)]), None, 0 if i else total, 0 if i else v)])
+    def reply(row: tuple, every: np.ndarray, said: np.ndarray, n: int = 0, v: int = 0) -> pa.RecordBatch:
+        return batch([(*row[:3], packed(said[np.searchsorted(every, keys_of(row))]), None, n, v)])
 
-    dealt = rows.where(F.col("kind") != DOCS).repartition(shuffle_partitions(spark), "kind", "part").sortWithinPartitions("kind", "part")
-    return dealt.mapInArrow(run, ROW + ", n bigint, v bigint")
+    def light(batches):
+        for held in groups(batches, (1, 2)):
+            of, kind = Sums(), held[0][1]
+            for row in held:
+                of.add(row)
+            every, n = of.done()
+            said = told_by(kind, every, n, shared.value)
+            for i, row in enumerate(held):
+                yield reply(row, every, said, *((0, 0) if i else totals_of(kind, n)))
+
+    def heavy(batches):
+        every = said = None
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] == -1:  # the sum of the part, before those that ask
+                    every, n = keys_of(row), unpacked(row[4], np.int64)
+                    said = told_by(row[1], every, n, shared.value)
+                else:
+                    yield reply(row, every, said)
+
+    out = ROW + ", n bigint, v bigint"
+    if not (split := heavy_parts(rows, parts)):
+        told = rows.repartition(n_tasks, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(light, out)
+        told, sums = store(told, "ppm-answers"), None
+    else:
+        split = F.broadcast(spark.createDataFrame(split, "kind int, part int, tasks bigint"))
+        sums = heavy_sums(rows.join(split, ["kind", "part"], "left_semi").select(*NAMES))
+        few = rows.join(split, ["kind", "part"], "left_anti").select(*NAMES)
+        asking = rows.join(split, ["kind", "part"]).select(*NAMES, F.pmod(F.xxhash64("owner"), F.col("tasks")).alias("task"))
+        copies = sums.join(split, ["kind", "part"]).select(*NAMES, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
+        dealt = asking.unionByName(copies).repartition(n_tasks, "kind", "part", "task").sortWithinPartitions("kind", "part", "task", "owner").select(*NAMES)
+        told = few.repartition(n_tasks, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(light, out)
+        told = store(told.unionByName(dealt.mapInArrow(heavy, out)), "ppm-answers")
+    n = v = 0
+    for df in (told, *([sums] if sums is not None else [])):
+        more = df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        n, v = n + more[0], v + more[1]
+    return told, n, v
 
 
 def filled(rows: list[tuple], kind: int, keys: np.ndarray, parts: int, dtype) -> np.ndarray:
@@ -287,8 +391,7 @@ def digest(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", bucket_of("doc_id", 5, 1).alias("held_out"), "text")
     parts = 4 * shuffle_partitions(spark)
     lots = store(asked(rows, parts), "ppm-lots")
-    told = store(answered(lots), "ppm-answers")
-    n, v = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    told, n, v = answered(lots, parts)
 
     def run(batches):
         for held in groups(batches, (0,)):
