@@ -6,7 +6,8 @@ words of context. A window is looked up by its rarest term; the posting list is
 with that of its second rarest term, and what is left is compared word by word.
 
 Null and blank texts have no words. Items without words have no window; null item ids are left out of the id list
-but their windows count as hits. Repeated rows are each reported. Empty tables give empty results or no hits.
+but their windows count as hits. Repeated rows are each reported. Empty tables give empty results or no hits. Documents are
+told apart by their id and a hash of id and text together. Only keys and texts are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, fresh, store
 
 WIDTH = 13
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words, before A-Z are lower-cased
@@ -43,9 +44,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
+def doc_key(text: str | Column, key: str | Column) -> Column:
+    text, key = (F.col(c) if isinstance(c, str) else c for c in (text, key))
+    return F.struct(key.alias("id"), F.xxhash64(key, text).alias("hash"))
+
+
 def token_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     """One row per document with its row key (doc_id and text may repeat), words as written and their number."""
-    return docs.select(F.col(key).alias("doc_id"), raw_words(text).alias("w"), F.xxhash64(F.col(key), F.col(text)).alias("doc_key"))
+    return docs.select(F.col(key).alias("doc_id"), raw_words(text).alias("w"), doc_key(text, key).alias("doc_key"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -131,6 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     named = found.select("window_id", "doc_key").distinct().join(win.select("window_id", F.col("item_id").cast("string").alias("item")).distinct(), "window_id") \
         .groupBy("doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     told = store(hits.join(named, "doc_key", "left"), "hits")
+    discard(win, counts, looked, found)
     lengths = index.where("term IS NULL").select("doc_id", "doc_key", F.col("n_words").cast("bigint").alias("n_words"))
     return lengths.join(told, "doc_key", "left").select("doc_id", "doc_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -148,5 +155,6 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the contaminated ones."""
-    bad = contamination(docs, items, text, key).where(flagged()).select(F.col("doc_key").alias("_bad")).distinct()
-    return docs.join(store(bad, "contaminated"), F.xxhash64(F.col(key), F.col(text)) == F.col("_bad"), "left_anti")
+    (bad_,) = fresh(docs, "_bad")
+    bad = contamination(docs, items, text, key).where(flagged()).select(F.col("doc_key").alias(bad_)).distinct()
+    return docs.join(store(bad, "contaminated"), doc_key(docs[text], docs[key]) == F.col(bad_), "left_anti")
