@@ -123,10 +123,12 @@ def running_totals(df: DataFrame, keys: list[Column], sums: list[str], name: str
         *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums),
     )  # one row per partition: bounded by the number of partitions
     joined = stored.join(F.broadcast(parts), "_pid")
-    return joined.select(
+    out = joined.select(
         *(F.col(f"`{f.name}`") for f in fields), (F.col("_row") + F.col("_o")).alias("row_no"),
         *((F.col(f"_cum_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums),
     )
+    out._stored_at = stored._stored_at  # so that discard() deletes it
+    return out
 
 
 def text_blocks(texts: list[str], limit: int):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, keyed_join, running_totals, store
+from .common import discard, fresh, keyed_join, running_totals, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -34,7 +34,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     ranked = ranked.select("source", "n", "source_size", F.col("row_no").alias("rank"), (F.col("cum_source_size") - F.col("source_size")).alias("offset"))
     ranked = ranked.withColumn("w", cycle[(F.col("rank") % len(weights)).cast("int")]).withColumn("cap", F.col("source_size") * most)
     units = F.round(F.col("w") * UNITS).cast("bigint")
-    by_ratio = store(running_totals(ranked.withColumn("units", units), [F.col("cap") / F.col("w"), F.col("rank")], ["cap", "units"], "mix-ratios"), "mix-levels")
+    by_ratio = running_totals(ranked.withColumn("units", units), [F.col("cap") / F.col("w"), F.col("rank")], ["cap", "units"], "mix-ratios")
     whole = by_ratio.agg(F.sum("source_size").alias("size"), F.sum("units").alias("units")).first()
     rest = F.lit((whole["size"] or 0) * share) - (F.col("cum_cap") - F.col("cap"))
     w_rest = (F.lit(whole["units"] or 0) - (F.col("cum_units") - F.col("units"))) / UNITS
@@ -51,11 +51,12 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     sized = store(sized.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     aims = store(targets(sized), "mix-targets")
-    queue = store(running_totals(sized, [F.col("source").asc_nulls_last(), F.col("turn"), F.col("doc_id"), F.col("text_key")], ["size"], "mix-queue"), "mix-run")
+    run = running_totals(sized, [F.col("source").asc_nulls_last(), F.col("turn"), F.col("doc_id"), F.col("text_key")], ["size"], "mix-queue")
     total = aims.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("size")).first()
-    queue = keyed_join(queue, aims, ["source"], "n", total["n"])
+    queue = keyed_join(run, aims, ["source"], "n", total["n"])
     queue = queue.withColumn("served", F.col("cum_size") - F.col("offset"))
     queue = store(queue.select("doc_id", "text_key", "size", "rank", "source_size", "target", "row_no", "served"), "mix-queued")
+    discard(sized, aims, run)
     passes = queue.select("row_no", "size", "rank", "source_size", "target", "served", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("pass"))
     finish = (F.col("served") + F.col("pass") * F.col("source_size")) / F.col("target")
     entries = passes.where("size > 0").select("row_no", "size", finish.alias("finish"), "rank", "pass").withColumnRenamed("row_no", "entry")
