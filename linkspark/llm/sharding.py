@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, running_totals, store
+from .common import discard, keyed_join, running_totals, store
 
 BITS = 5  # per dimension
 PULL = 20  # rows are pulled to the middle of their group by up to 1/PULL of a shard
@@ -53,7 +53,7 @@ def hilbert_index(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def ranked(values: DataFrame, column: str, bits: int) -> DataFrame:
     """(column, column_q): the different values in order, spread evenly over 2**bits steps."""
-    kinds = store(running_totals(values.groupBy(column).agg(F.count("*").alias("n")), [F.col(column).asc_nulls_last()], [], f"shard-{column}"), f"shard-{column}")
+    kinds = running_totals(values.groupBy(column).agg(F.count("*").alias("n")), [F.col(column).asc_nulls_last()], [], f"shard-{column}")
     return kinds.select(column, "n", F.floor(F.col("row_no") * (1 << bits) / max(1, kinds.count())).cast("int").alias(f"{column}_q"))
 
 
@@ -66,7 +66,7 @@ def curve(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int =
     rows = store(rows, "shard-rows")
     kinds = rows.groupBy("text_key", "size").agg(
         F.min("lang").alias("lang"), F.min("source").alias("source"), F.sum("size").alias("group_size"), F.count("*").alias("n_rows"))
-    kinds = store(kinds, "shard-kinds")
+    kinds = first = store(kinds, "shard-kinds")
     n_kinds = kinds.count()
     for name in ("lang", "source"):  # counted among the groups, which are what is joined
         kinds = keyed_join(kinds, store(ranked(kinds, name, bits), f"shard-{name}"), [name], "n", n_kinds)
@@ -81,6 +81,7 @@ def curve(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int =
     placed = kinds.mapInArrow(place, "text_key bigint, size bigint, group_size bigint, n_rows bigint, curve bigint")
     ordered = running_totals(placed, [F.col("curve"), F.col("size"), F.col("text_key")], ["group_size"], "shard-groups")
     starts = store(ordered.select("text_key", "size", "group_size", "n_rows", "curve", (F.col("cum_group_size") - F.col("group_size")).alias("group_start")), "shard-starts")
+    discard(first, ordered)
     total = starts.agg(F.sum("n_rows")).first()[0] or 0
     return keyed_join(rows.select("doc_id", "size", "text_crc32", "text_key"), starts, ["text_key", "size"], "n_rows", total)
 
@@ -89,11 +90,12 @@ def assign(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "do
     """Per row: doc_id, size, text_crc32, curve, shard, slot."""
     rows = curve(docs, text, key, bits)
     order = [F.col("curve"), F.col("size"), F.col("text_key"), F.xxhash64("doc_id"), F.col("doc_id")]
-    run = store(running_totals(rows, order, ["size"], "shard-order"), "shard-run")
+    run = running_totals(rows, order, ["size"], "shard-order")
     total = run.agg(F.sum("size")).first()[0] or 1
     own, middle, most = F.col("cum_size") - F.col("size") / 2, F.col("group_start") + F.col("group_size") / 2, F.lit(total / shards / PULL)
     place = own + F.greatest(-most, F.least(most, middle - own))  # never out of order: the pull grows no faster than the distance
     cut = store(run.withColumn("shard", F.least(F.floor(place * shards / F.lit(float(total))), F.lit(shards - 1)).cast("int")), "shard-cut")
+    discard(run)
     first = cut.groupBy("shard").agg(F.min("row_no").alias("first"))  # one row per shard
     return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("row_no") - F.col("first")).alias("slot"))
 
