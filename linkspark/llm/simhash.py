@@ -145,6 +145,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: i
     named = store(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = store(named.join(ids, "root").select("fp", "component_id"), "simhash-labels")
+    discard(classes, named)
     return stored.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
