@@ -68,7 +68,10 @@ def links(prints: DataFrame, distance: int = 4, blocks: int | None = None) -> Da
     With `blocks` = distance + 1 the bits outside the segment are cut into so many blocks, one of which is equal too, and
     each key is joined by one of them: `blocks` keys for one, of some nine more bits, and the pair is taken from its first
     equal block. Pairs are the same; fewer unlike ones meet. By default the fingerprints are counted, and the longer keys
-    are taken where the others would be shared by too many."""
+    are taken where the others would be shared by too many.
+
+    The join is a merge join by a hint: the planner takes the exploded keys for no larger than the fingerprints, and would
+    send all of them through the driver to every executor."""
     if blocks is None:
         blocks = 1 if prints.count() <= SHORT_KEYS else distance + 1
     segs = segments(distance)
@@ -91,7 +94,7 @@ def links(prints: DataFrame, distance: int = 4, blocks: int | None = None) -> Da
     for k in range(blocks - 1):  # no earlier block may be equal
         earlier = F.array(*[F.lit(rest[of_bit[b]][k]) for b in range(64) for _ in range(blocks)])
         on &= (slot % blocks <= k) | (diff.bitwiseAND(earlier[slot]) != 0)
-    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

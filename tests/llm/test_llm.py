@@ -271,6 +271,16 @@ def test_links_are_exact(spark):
     assert set(got) == {(a, b) for i, a in enumerate(v) for b in v[i + 1:] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
 
 
+def test_links_are_never_broadcast(spark, tmp_path):
+    v = [1, 2, 3, 7, 1 << 40, (1 << 40) + 5]
+    spark.createDataFrame([(x,) for x in v], "fp bigint").write.parquet(str(tmp_path / "prints"))
+    prints = spark.read.parquet(str(tmp_path / "prints"))  # a few bytes, and so the planner takes the 64 keys of each for few
+    for blocks in (None, 5):
+        found = simhash.links(prints, 4, blocks)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == sorted((a, b) for a in v for b in v if a < b and (a ^ b).bit_count() <= 4)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)] + [(500, 501), (600, 501)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame([(min(e), max(e)) for e in edges], "a bigint, b bigint")).collect())
