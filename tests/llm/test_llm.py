@@ -281,6 +281,15 @@ def test_links_are_never_broadcast(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == sorted((a, b) for a in v for b in v if a < b and (a ^ b).bit_count() <= 4)
 
 
+def test_pipeline_never_broadcasts_links(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    plans, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or components(edges))
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() <= docs.count()
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)] + [(500, 501), (600, 501)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame([(min(e), max(e)) for e in edges], "a bigint, b bigint")).collect())
