@@ -1,10 +1,12 @@
 """Personal data by rules and a semi-Markov conditional random field.
 
-The rules give the base spans of each kind, leftmost and non-overlapping. Stretches between them that may hold more (many
-digits, a dotted quad or a spelled-out address) are cut into tokens; the semi-Markov model scores every segment of up to LONGEST tokens by
-features of the whole segment and its neighbours, and dynamic programming picks the best cut into entities and single
-other tokens. Its entities are added. Weights come from conditional likelihood on
-sequences drawn from the templates below, with a fixed seed, once on the driver; no corpus is read.
+The rules give the base spans of each kind, leftmost and non-overlapping. The text between them is cut into tokens; the
+semi-Markov model scores every segment of up to LONGEST tokens that can be an entity of some kind by features of the whole
+segment and its neighbours, and dynamic programming picks the best cut into entities and single other tokens. Its entities
+are added. What can be an entity is fixed by `Sequence.legal` alone, wherever it stands. A token in no such segment stands
+alone in every cut, so only the stretches that hold one (`zones`) are cut in fact, with the same result. Weights come from
+conditional likelihood on sequences drawn from the templates below, with a fixed seed, once on the driver; no corpus is
+read.
 
 Null texts count as empty. Whole texts of any length are searched, also digit runs and lists of numbers of any length;
 the work of a text is in proportion to its length. Repeated rows get the same spans. Empty tables give empty results;
@@ -75,6 +77,7 @@ DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-
 LABELS = ("other", *KINDS)
 LONGEST = 21  # tokens of an entity at most
 STEP = 500  # tokens whose segments are held at once
+EXACT = 1 << 30  # scores are rounded to this part of one, so that sums are exact and cuts of equal score are told apart anywhere alike
 AT = frozenset(("at", "arroba", "arobase", "ät"))
 DOT = frozenset(("dot", "punkt", "punto", "point"))
 CUES = {
@@ -87,6 +90,7 @@ CUES = {
 RUNNING = frozenset("the a an this that these those some any all each no one us him her them it me you look looked in of is to le la les un une ce cet el los las un una este der die das den dem ein eine".split())
 ENDINGS = frozenset("com org net edu gov mil info biz io co de fr es it nl at ch eu uk us ca mx ar br pt pl se no dk fi be ie au nz jp in".split())
 N_FEATURES = 41
+SIGNS = frozenset("@._%+-()[]{}<>")  # of an address
 DOTTED = r"(?:\s*(?:\.|[(\[]\s*(?:\.|dot|punkt|punto|point)\s*[)\]])\s*|\s+(?:dot|punkt|punto|point)\s+)"
 PARTS = re.compile(DOTTED, re.I)
 
@@ -147,6 +151,30 @@ class Sequence:
         twice = np.where(digits > 4, 2 * digits - 9, 2 * digits)
         even = np.arange(len(digits)) % 2 == 0
         self.luhn = [(running(np.where(even == keep, digits, 0)), running(np.where(even == keep, 0, twice))) for keep in (False, True)]
+        # For legal()
+        is_at, is_dot = (np.diff(self.count[k]) > 0 for k in ("at", "dot"))
+        self.ascii, self.plain = flag(ascii_), self.alnum & ~is_at & ~is_dot
+        self.goes_on = np.append(touch & flag(t[0].isalnum() or t[0] == "_" for t in said[1:]), False)
+        self.letters = running([t[0].isalnum() and not t[0].isdecimal() for t in said])
+        aside = np.append(False, ~touch)  # white space before it
+        stop = flag(t == "." for t in said) & ~aside & np.append(aside[1:], False)
+        self.broken = running(stop | flag(not (a or t in SIGNS) for t, a in zip(said, self.alnum.tolist(), strict=True)))
+        self.beside = running(aside & self.plain & np.append(False, self.plain[:-1]))
+        here = np.arange(self.n)
+        self.last_at = np.maximum.accumulate(np.where(is_at, here, -1))
+        firm = self.plain | is_at | is_dot
+        after = np.append(np.minimum.accumulate(np.where(firm, here, self.n)[::-1])[::-1][1:], self.n)
+        before = np.append(-1, np.maximum.accumulate(np.where(firm, here, -1))[:-1])
+        held = np.append(self.plain, False)  # also at -1
+        self.joins = is_at & held[after] & held[before]
+
+    def quads(self, i: np.ndarray, last: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """Which of the segments from token i to token last that may be one are four parts of up to 255 with a DOT between them."""
+        out = may & self.number[i] & self.number[last]
+        for k in np.flatnonzero(out).tolist():
+            parts = PARTS.split(self.text[self.start[i[k]]:self.end[last[k]]])
+            out[k] = len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return out
 
     def features(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of the segments from token i to token j (exclusive), one row each."""
@@ -159,10 +187,7 @@ class Sequence:
         odd = (high - 1) % 2 == 0  # the last digit and each second one before it count once
         total = np.where(odd, *(sum(x[high] - x[low] for x in self.luhn[k]) for k in (1, 0)))
         card = (n >= 13) & (n <= 19)
-        quad = (c["groups"] == 4) & (c["wide"] == 0) & self.number[i] & self.number[last]
-        for k in np.flatnonzero(quad).tolist():
-            parts = PARTS.split(self.text[self.start[i[k]]:self.end[last[k]]])
-            quad[k] = len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        quad = self.quads(i, last, (c["groups"] == 4) & (c["wide"] == 0))
         f[:, 0], f[:, 1], f[:, 2] = 1, j - i == 1, (j - i) / LONGEST
         for k, (x, y) in enumerate(((0, 0), (1, 6), (7, 9), (10, 11), (12, 13), (14, 19))):
             f[:, 3 + k] = (n >= x) & (n <= y)
@@ -195,6 +220,23 @@ class Sequence:
         return f
 
 
+    def legal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which KINDS the segments from token i to token j (exclusive) can be. None goes on as a word. A card or phone number
+        has 13 to 19 or 7 to 15 digits, no letter, and starts with a digit, ( or +. An ip has four parts of up to 255 with a
+        DOT between them. An address is name, AT and domain with a DOT, of words joined by SIGNS, AT or DOT (no two words with
+        just white space between them), without the full stop of a sentence."""
+        c, last = {k: self.count[k][j] - self.count[k][i] for k in ("digits", "groups", "wide", "at", "dot")}, j - 1
+        n = c["digits"]
+        number = (self.letters[j] == self.letters[i]) & (self.ascii[i] | self.opens[i]) & self.ascii[last]
+        at = self.last_at[last]
+        address = (c["at"] == 1) & self.plain[i] & self.plain[last] & (self.broken[j] == self.broken[i]) & (self.beside[j] == self.beside[i + 1])
+        address &= self.joins[at] & (self.count["dot"][j] > self.count["dot"][at + 1])
+        quad = self.quads(i, last, (c["groups"] == 4) & (c["wide"] == 0) & (c["dot"] == 3))
+        out = np.stack([address, quad, number & (n >= 13) & (n <= 19), number & (n >= 7) & (n <= 15)], axis=1)
+        out[self.goes_on[last]] = False
+        return out
+
+
 def segments(first: int, past: int, low: int = 1, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All segments of the tokens from first to past whose end is the low-th to high-th token, by end, then start."""
     j = np.arange(first + low, first + (past - first if high is None else high) + 1)
@@ -232,15 +274,22 @@ def gradient(i: np.ndarray, j: np.ndarray, x: np.ndarray, gold: list[tuple[int,
     return x.T @ (seen - p)
 
 
-def decode(tokens: list, text: str, w: np.ndarray, first: int = 0, past: int | None = None) -> list[tuple[int, int, str]]:
-    """Best cut of the tokens from first to past; the others are context. The entities, as (start, end, kind)."""
+def decode(tokens: list, text: str, w: np.ndarray, first: int = 0, past: int | None = None, legal: bool = False) -> list[tuple[int, int, str]]:
+    """Best cut of the tokens from first to past; the others are context. The entities, as (start, end, kind). With `legal`
+    only those that can be of their kind."""
     past = len(tokens) if past is None else past
     n, sequence = past - first, Sequence(tokens, text)
     best, back = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
     best[0] = 0
     for low in range(1, n + 1, STEP):
         i, j = segments(first, past, low, min(n, low + STEP - 1))
-        s = score(i, j, sequence.features(i, j), w)
+        if legal:
+            can = sequence.legal(i, j)
+            kept = can.any(axis=1) | (j - i == 1)
+            i, j, can = i[kept], j[kept], can[kept]
+        s = np.rint(score(i, j, sequence.features(i, j), w) * EXACT) / EXACT
+        if legal:
+            s[:, 1:][~can] = -np.inf
         label, value, i = s.argmax(axis=1), s.max(axis=1), i - first
         ends = np.searchsorted(j - first, np.arange(low, min(n, low + STEP - 1) + 2))
         for k in range(low, min(n, low + STEP - 1) + 1):
@@ -353,16 +402,14 @@ def weights(examples: int = 800, epochs: int = 6, seed: int = 11) -> np.ndarray:
     return w
 
 
-# Stretches that may hold more: whole runs of numbers of seven digits or more with separators, and spelled-out addresses.
-NUMBERS = re.compile(r"(?<![\w.])[(+]?[0-9](?:[ ().\-/]{0,3}[0-9]){6,}+")
-SIGN = r"(?: ?[(\[](?:at|arroba|arobase|ät)[)\]] ?| @ | (?:at|arroba|arobase|ät) )"
-STOPS = r"(?:\.| ?[(\[](?:dot|punkt|punto|point)[)\]] ?| (?:dot|punkt|punto|point) )"
-# A name starts where a run of its characters starts and takes all of it, so long runs are looked at once.
-SPELLED = re.compile(rf"(?i)(?<![\w.%+-])[a-z0-9._%+-]++(?:(?! \.){STOPS}[a-z0-9_%+-]++){{0,3}}{SIGN}[a-z0-9-]++(?:{STOPS}[a-z0-9-]++){{1,4}}")
-QUAD = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{DOTTED}[0-9]{{1,3}}){{3,}}+", re.I)
-CUE = re.compile(r"@|at\b|arroba|arobase|ät\b", re.I)  # no spelled-out address is without one
-CANDIDATES = (NUMBERS, QUAD, SPELLED)
-MARGIN = 40  # characters of context on either side
+# Each segment that can be an entity lies in one of these: a stretch without letters from a digit, ( or + on, a chain of
+# numbers with a DOT between them, or what is joined on to an AT (chain()).
+RUN = re.compile(r"[0-9(+][\W\d_]{6,}+")
+QUAD = re.compile(rf"(?<!\d)\d++(?:{DOTTED}\d++){{3,}}+", re.I)
+ATS = re.compile(r"[@aAäÄ](?:(?<=@)|(?<![^\W\d_].)(?:(?<=[aA])(?:[tT]|(?i:rroba|robase))|(?<=[äÄ])[tT])(?![^\W\d_]))", re.S)
+LETTER = re.compile(r"[^\W\d_]")
+MARGIN = 40  # characters of context after a stretch; stretches no further apart are cut as one
+CONTEXT = 4  # tokens of context before it
 
 
 def gaps(base: list[tuple[int, int, str]], n: int):
@@ -376,26 +423,92 @@ def gaps(base: list[tuple[int, int, str]], n: int):
         yield at, n
 
 
+def token_before(text: str, at: int, low: int) -> int:
+    """Start of the token that ends before `at`, no less than low; -1 if there is none."""
+    at -= 1
+    while at >= low and text[at].isspace():
+        at -= 1
+    if at < low:
+        return -1
+    same = LETTER.match if LETTER.match(text[at]) else DIGIT.match if DIGIT.match(text[at]) else None
+    while same and at > low and same(text[at - 1]):
+        at -= 1
+    return at
+
+
+def chain(text: str, at: int, end: int, low: int, high: int) -> tuple[int, int] | None:
+    """The stretch between low and high with each address whose AT stands from `at` to `end`; None if there is no such."""
+    dotted, past, last, plain = False, -1, end, False
+    for k, m in enumerate(TOKEN.finditer(text, end, high)):
+        said, alnum = m[0], m[0][0].isalnum()
+        known = alnum and said.lower()
+        dot = said == "." or known in DOT
+        if k == LONGEST or said == "@" or known in AT or not (alnum or said in SIGNS) or dot and past < 0 and not plain:
+            break
+        if said == "." and last == m.start() and text[m.end():m.end() + 1].isspace():
+            break
+        if alnum and not dot:
+            if plain and last < m.start() and solid:
+                break
+            past = m.end() if dotted else past
+        plain, dotted, solid, last = plain or alnum and not dot, dotted or dot, alnum and not dot, m.end()
+    if past < 0:
+        return None
+    first, behind, solid = -1, at, False
+    for _ in range(LONGEST):
+        start = token_before(text, behind, low)
+        if start < 0:
+            break
+        said = TOKEN.match(text, start, behind)[0]
+        alnum = said[0].isalnum()
+        known = alnum and said.lower()
+        if said == "@" or known in AT or not (alnum or said in SIGNS):
+            break
+        word = alnum and known not in DOT
+        if word:
+            if solid and start + len(said) < behind:
+                break
+            first = start
+        solid, behind = word, start
+    return None if first < 0 else (first, past)
+
+
+def zones(text: str, base: list[tuple[int, int, str]]) -> list[list[int]]:
+    """Stretches outside the base spans that hold each segment that can be an entity, those near each other as one."""
+    out: list[list[int]] = []
+    digits, ats = DIGIT.search(text), ATS.search(text)
+    for low, high in gaps(base, len(text)) if digits or ats else ():
+        found: list[tuple[int, int]] = []
+        if digits:
+            found += (m.span() for m in RUN.finditer(text, low, high) if len(DIGIT.findall(m[0])) >= 7)
+            found += (m.span() for m in QUAD.finditer(text, low, high))
+        if ats:
+            found += filter(None, (chain(text, m.start(), m.end(), low, high) for m in ATS.finditer(text, low, high)))
+        own: list[list[int]] = []
+        for a, b in sorted(found):
+            if own and a <= own[-1][1] + MARGIN:
+                own[-1][1] = max(own[-1][1], b)
+            else:
+                own.append([a, b])
+        out += own
+    return out
+
+
 def found_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray | None = None) -> list[tuple[int, int, str]]:
-    """Entities of the model that don't meet a base span."""
+    """Entities of the model that don't meet a base span: those of the best cut of all tokens outside the base spans."""
     w = weights() if w is None else w
     out: list[tuple[int, int, str]] = []
-    zones: list[list[int]] = []
-    if DIGIT.search(text) or CUE.search(text):
-        for low, high in gaps(base, len(text)):
-            for a, b in sorted(m.span() for r in CANDIDATES for m in r.finditer(text, low, high)):
-                if zones and a < zones[-1][1]:
-                    zones[-1][1] = max(zones[-1][1], b)
-                else:
-                    zones.append([a, b])
-    for a, b in zones:
-        low, high = max(0, a - MARGIN), min(len(text), b + MARGIN)
+    for a, b in zones(text, base):
+        low, high = a, min(len(text), b + MARGIN)
+        for _ in range(CONTEXT):
+            start = token_before(text, low, 0)
+            low = low if start < 0 else start
         part = text[low:high]
         tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(part)]
-        first = next((i for i, t in enumerate(tokens) if t[0] >= a - low), 0)
+        first = next((i for i, t in enumerate(tokens) if t[0] >= a - low), len(tokens))
         past = max((i for i, t in enumerate(tokens) if t[1] <= b - low), default=-1) + 1
-        inside = text[b:b + 1].isalnum() or text[b:b + 1] == "_"  # the last number goes on as a word
-        out += [(s + low, e + low, kind) for s, e, kind in (decode(tokens, part, w, first, past) if past > first else []) if not (inside and e + low == b)]
+        if past > first:
+            out += [(s + low, e + low, kind) for s, e, kind in decode(tokens, part, w, first, past, legal=True)]
     return out
 
 

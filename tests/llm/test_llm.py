@@ -112,6 +112,78 @@ def test_model_spelled_out(text, said):
     assert [(text[a:b], k) for a, b, k in pii.found_spans(text, pii.base_spans(text))] == said
 
 
+@pytest.mark.parametrize("text, said", [
+    ("write john@example dot com now", [("john@example dot com", "email")]), ("mail john at\nexample dot com please", [("john at\nexample dot com", "email")]),
+    ("john  at  example  dot  com", [("john  at  example  dot  com", "email")]), ("write to john at example . com now", [("john at example . com", "email")]),
+    ("mail jörg at example dot com", [("jörg at example dot com", "email")]), ("john {at} example {dot} com", [("john {at} example {dot} com", "email")]),
+    ("mail a.b.c.d.e at mail dot b dot c dot d dot e dot com now", [("a.b.c.d.e at mail dot b dot c dot d dot e dot com", "email")]),
+    ("call 702\n555 0742 now", [("702\n555 0742", "phone")]), ("call 702–555–0742 now", [("702–555–0742", "phone")]), ("call .702-555-0742", [("702-555-0742", "phone")]),
+    ("Tel702-555-0742 now", [("702-555-0742", "phone")]), ("dial ( 702 ) 555 - 0742 now", [("( 702 ) 555 - 0742", "phone")]),
+    ("card 4111_1111_1111_1111 ok", [("4111_1111_1111_1111", "card")]), ("host x10 dot 0 dot 0 dot 1 up", [("10 dot 0 dot 0 dot 1", "ip")]),
+    ("they met at noon. It was late", []), ("arrive at gate 12. in time", []), ("on%%% erhare$$$ of, anderorheat at.\nThe end", []),
+])
+def test_model_at_every_position(text, said):
+    """Forms that no list of patterns names."""
+    assert [(text[a:b], k) for a, b, k in pii.found_spans(text, pii.base_spans(text))] == said
+
+
+def hostile_texts(n, seed):
+    r = np.random.default_rng(seed)
+    parts = ["at", "AT", "arroba", "ät", "dot", "Punkt", ".", ".", "@", "of", "com", "john", "phone", "card", "ü", "²", "٣", "12", "20", "-", "4111", "1111", "255", "7", "(", ")", "+", "/", " ", " ", " ", " ", "\n",
+             "$", "_", "(dot)", ",", "[at]", "4111111111111111", "555-123-4567", "1.2.3.4", "a@b.co", " at ", " dot "]
+    return ["".join(r.choice(parts, r.integers(1, 60))) for _ in range(n)]
+
+
+def test_zones_lose_nothing():
+    """The spans are those of the best cut of all tokens outside the base spans, with the trained weights and with any."""
+    r, found = np.random.default_rng(6), 0
+    for k, text in enumerate(hostile_texts(1500, 5)):
+        w = pii.weights() if k % 2 else r.normal(size=(pii.N_FEATURES, len(pii.LABELS)))
+        base, tokens, want = pii.base_spans(text), [(m.start(), m.end(), m[0]) for m in pii.TOKEN.finditer(text)], []
+        for low, high in pii.gaps(base, len(text)):
+            if own := [i for i, t in enumerate(tokens) if low <= t[0] and t[1] <= high]:
+                want += pii.decode(tokens, text, w, own[0], own[-1] + 1, legal=True)
+        assert pii.found_spans(text, base, w) == want, text
+        found += len(want)
+    assert found > 200
+
+
+def plain_kinds(tokens, i, j, text):
+    """Which kinds the segment can be, property by property."""
+    seg, said, after = [t for _, _, t in tokens[i:j]], text[tokens[i][0]:tokens[j - 1][1]], text[tokens[j - 1][1]:][:1]
+    if after.isalnum() or after == "_":
+        return set()
+    is_at, is_dot = [t == "@" or t.lower() in pii.AT for t in seg], [t == "." or t.lower() in pii.DOT for t in seg]
+    word, n, out = [t[0].isalnum() and not (x or y) for t, x, y in zip(seg, is_at, is_dot)], len(re.findall("[0-9]", said)), set()
+    if re.fullmatch(r"[0-9(+](?s:.*)", said) and re.search("[0-9]$", said) and not re.search(r"[^\W\d_]", said):
+        out |= {"card"} if 13 <= n <= 19 else set()
+        out |= {"phone"} if 7 <= n <= 15 else set()
+    parts = pii.PARTS.split(said)
+    if len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts) and sum(t.isdigit() for t in seg) == 4:
+        out.add("ip")
+    if sum(is_at) == 1 and word[0] and word[-1] and any(is_dot[is_at.index(True):]) and all(t[0].isalnum() or t in "@._%+-()[]{}<>" for t in seg):
+        at, gaps = is_at.index(True), [text[a[1]:b[0]] for a, b in zip(tokens[i:j], tokens[i + 1:j])]
+        firm = lambda ks: next(word[k] for k in ks if word[k] or is_dot[k])
+        beside = any(x and y and g for x, y, g in zip(word, word[1:], gaps))
+        stop = any(t == "." and not g and h for t, g, h in zip(seg[1:], gaps, gaps[1:]))
+        if not beside and not stop and firm(range(at + 1, len(seg))) and firm(range(at - 1, -1, -1)):
+            out.add("email")
+    return out
+
+
+def test_what_can_be_an_entity():
+    seen = set()
+    for text in [*hostile_texts(150, 8), "john at example dot com", "x at y. It", "10 dot 0 dot 0 dot 1", "10 dot 0 dot 0 dot 256", "(702) 555-0742", "702-555-0742x"]:
+        tokens = [(m.start(), m.end(), m[0]) for m in pii.TOKEN.finditer(text)]
+        if tokens:
+            i, j = pii.segments(0, len(tokens))
+            for a, b, row in zip(i.tolist(), j.tolist(), pii.Sequence(tokens, text).legal(i, j)):
+                got = {k for k, can in zip(pii.KINDS, row) if can}
+                assert got == plain_kinds(tokens, a, b, text), (text, text[tokens[a][0]:tokens[b - 1][1]])
+                seen |= got
+    assert seen == set(pii.KINDS)
+
+
 def test_pii_query(spark, docs):
     extra = spark.createDataFrame([(1, "mail a@b.co and +1 (702) 555-0742"), (2, None), (3, "")], "doc_id bigint, text string")
     a, b, c = by_id(pii.find(extra))
