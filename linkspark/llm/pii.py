@@ -278,6 +278,11 @@ def decode(tokens: list, text: str, w: np.ndarray, first: int = 0, past: int | N
     """Best cut of the tokens from first to past; the others are context. The entities, as (start, end, kind). With `legal`
     only those that can be of their kind."""
     past = len(tokens) if past is None else past
+    return entities(tokens, first, best_cuts(tokens, text, w, first, past, legal), past - first)
+
+
+def best_cuts(tokens: list, text: str, w: np.ndarray, first: int, past: int, legal: bool) -> list[tuple[int, int]]:
+    """For each number of tokens from first on, the start and label of the last segment of their best cut."""
     n, sequence = past - first, Sequence(tokens, text)
     best, back = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
     best[0] = 0
@@ -297,7 +302,21 @@ def decode(tokens: list, text: str, w: np.ndarray, first: int = 0, past: int | N
             reached = best[i[a:b]] + value[a:b]
             top = int(reached.argmax())
             best[k], back[k] = reached[top], (int(i[a + top]), int(label[a + top]))
-    out, k = [], n
+    return back
+
+
+def shared(back: list[tuple[int, int]]) -> int:
+    """The last place that the best cuts of all later tokens have in common, whatever these are."""
+    places = set(range(max(0, len(back) - LONGEST), len(back)))
+    while len(places) > 1:
+        top = max(places)
+        places = places - {top} | {back[top][0]}
+    return places.pop()
+
+
+def entities(tokens: list, first: int, back: list[tuple[int, int]], k: int) -> list[tuple[int, int, str]]:
+    """Those of the best cut of k tokens from first on."""
+    out = []
     while k:
         i, kind = back[k]
         if kind:
@@ -410,6 +429,7 @@ ATS = re.compile(r"[@aAäÄ](?:(?<=@)|(?<![^\W\d_].)(?:(?<=[aA])(?:[tT]|(?i:rrob
 LETTER = re.compile(r"[^\W\d_]")
 MARGIN = 40  # characters of context after a stretch; stretches no further apart are cut as one
 CONTEXT = 4  # tokens of context before it
+CHUNK = 100_000  # characters of a stretch that are cut at once; what later ones can't change is then settled
 
 
 def gaps(base: list[tuple[int, int, str]], n: int):
@@ -499,16 +519,20 @@ def found_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray | Non
     w = weights() if w is None else w
     out: list[tuple[int, int, str]] = []
     for a, b in zones(text, base):
-        low, high = a, min(len(text), b + MARGIN)
-        for _ in range(CONTEXT):
-            start = token_before(text, low, 0)
-            low = low if start < 0 else start
-        part = text[low:high]
-        tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(part)]
-        first = next((i for i, t in enumerate(tokens) if t[0] >= a - low), len(tokens))
-        past = max((i for i, t in enumerate(tokens) if t[1] <= b - low), default=-1) + 1
-        if past > first:
-            out += [(s + low, e + low, kind) for s, e, kind in decode(tokens, part, w, first, past, legal=True)]
+        size = CHUNK
+        while a < b:
+            low, stop = a, min(b, a + size)
+            for _ in range(CONTEXT):
+                start = token_before(text, low, 0)
+                low = low if start < 0 else start
+            part = text[low:stop + MARGIN]
+            tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(part)]
+            first = next((i for i, t in enumerate(tokens) if t[0] >= a - low), len(tokens))
+            past = max((i for i, t in enumerate(tokens) if t[1] <= stop - low), default=-1) + 1
+            back = best_cuts(tokens, part, w, first, past, True) if past > first else [(0, 0)]
+            k = len(back) - 1 if stop == b else shared(back)
+            out += [(s + low, e + low, kind) for s, e, kind in entities(tokens, first, back, k)]
+            a, size = (b, size) if stop == b else (tokens[first + k - 1][1] + low, CHUNK) if k else (a, 2 * size)
     return out
 
 

@@ -134,8 +134,10 @@ def hostile_texts(n, seed):
     return ["".join(r.choice(parts, r.integers(1, 60))) for _ in range(n)]
 
 
-def test_zones_lose_nothing():
+@pytest.mark.parametrize("chunk", [100_000, 25])
+def test_zones_lose_nothing(chunk, monkeypatch):
     """The spans are those of the best cut of all tokens outside the base spans, with the trained weights and with any."""
+    monkeypatch.setattr(pii, "CHUNK", chunk)
     r, found = np.random.default_rng(6), 0
     for k, text in enumerate(hostile_texts(1500, 5)):
         w = pii.weights() if k % 2 else r.normal(size=(pii.N_FEATURES, len(pii.LABELS)))
@@ -148,6 +150,20 @@ def test_zones_lose_nothing():
     assert found > 200
 
 
+def test_memory_of_a_long_table():
+    """A text of numbers alone is cut a piece at a time."""
+    import tracemalloc
+
+    w, peaks = pii.weights(), []
+    for n in (6_000, 18_000):
+        text = "12, 345, 678, 9012\n" * n + "call 702_555_0742"
+        tracemalloc.start()
+        assert [text[a:b] for a, b, _ in pii.found_spans(text, [], w)] == ["702_555_0742"]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0], peaks
+
+
 def plain_kinds(tokens, i, j, text):
     """Which kinds the segment can be, property by property."""
     seg, said, after = [t for _, _, t in tokens[i:j]], text[tokens[i][0]:tokens[j - 1][1]], text[tokens[j - 1][1]:][:1]
